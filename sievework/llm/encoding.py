@@ -12,7 +12,7 @@ import os
 import re
 import struct
 
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 1_200_000
 CACHE_CHARS = 48
 _CUT = re.compile(r" (?=\S)")
 _ENCODERS: dict[tuple[str, bool], "ChunkEncoder"] = {}
@@ -68,11 +68,10 @@ class ChunkEncoder:
 
     def _learn(self, known: dict[str, bytes], chunks: set[str], before: str) -> None:
         new = [c for c in chunks if c not in known]
-        if new:
-            self.long += [(known, c) for c in new if len(c) > CACHE_CHARS]
-            for c, e in zip(new, self.tokenizer.encode_batch_fast([before + c for c in new], add_special_tokens=False)):
-                ids = e.ids
-                known[c] = struct.pack(f"<{len(ids)}I", *ids)
+        self.long += [(known, c) for c in new if len(c) > CACHE_CHARS]
+        for c, e in zip(new, self.tokenizer.encode_batch_fast([before + c for c in new], add_special_tokens=False)):
+            ids = e.ids
+            known[c] = struct.pack(f"<{len(ids)}I", *ids)
 
     def _trim(self) -> None:
         for known, c in self.long:
