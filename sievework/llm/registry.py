@@ -2,10 +2,24 @@
 
 from __future__ import annotations
 
-from sievework.llm import encoding, packing, token_files
+from sievework.llm import encoding, line_dedup, mixing, packing, quality, token_files
 from sievework.runtime import spread, table
 
 
+def op1_source_mix(spark, sf_dir):
+    out = mixing.plan_mix(spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "text"))
+    return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op2_line_dedup(spark, sf_dir):
+    return line_dedup.line_digest(spread(table(spark, sf_dir, "documents")))
+
+
+def op5_quality_rules(spark, sf_dir):
+    out = quality.quality(spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "text"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
+
+
 def op8_token_files(spark, sf_dir):
     return token_files.token_digest(spark, spread(table(spark, sf_dir, "documents")), encoding.vocabulary("word_bpe_49k.json"))
 
@@ -15,8 +29,8 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 def queries():
-    return {"op8_token_files": op8_token_files, "op10_best_fit_packing": op10_best_fit_packing}
+    return {"op1_source_mix": op1_source_mix, "op2_line_dedup": op2_line_dedup, "op5_quality_rules": op5_quality_rules, "op8_token_files": op8_token_files, "op10_best_fit_packing": op10_best_fit_packing}
 
 
 def oracle_sql():
-    return {}
+    return {"op2_line_dedup": line_dedup.ORACLE}
