@@ -102,5 +102,10 @@ def quality(docs: DataFrame, *, min_words: int = 50, min_common: int = 100, max_
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents kept, with their own columns."""
-    return quality(docs.select("lang", "text", F.struct("*").alias("d")), **options).where("kept").select("d.*")
+    """The documents kept, with their own columns.
+
+    The row number holds the filter above the projections: pushed below them, it would repeat the counting of
+    windows within each of its own steps.
+    """
+    judged = quality(docs.select("lang", "text", F.struct("*").alias("d")), **options).select("d", "kept", F.monotonically_increasing_id().alias("place"))
+    return judged.where(F.col("kept") & (F.col("place") >= 0)).select("d.*")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import encoding, line_dedup, mixing, packing, quality, token_files
+from sievework.llm import encoding, line_dedup, mixing, packing, quality, simhash, token_files
 from sievework.runtime import spread, table
 
 
@@ -20,6 +20,10 @@ def op5_quality_rules(spark, sf_dir):
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
+def op6_simhash(spark, sf_dir):
+    return simhash.fingerprint_digest(spread(table(spark, sf_dir, "documents")))
+
+
 def op8_token_files(spark, sf_dir):
     return token_files.token_digest(spark, spread(table(spark, sf_dir, "documents")), encoding.vocabulary("word_bpe_49k.json"))
 
@@ -29,7 +33,7 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 def queries():
-    return {"op1_source_mix": op1_source_mix, "op2_line_dedup": op2_line_dedup, "op5_quality_rules": op5_quality_rules, "op8_token_files": op8_token_files, "op10_best_fit_packing": op10_best_fit_packing}
+    return {"op1_source_mix": op1_source_mix, "op2_line_dedup": op2_line_dedup, "op5_quality_rules": op5_quality_rules, "op6_simhash": op6_simhash, "op8_token_files": op8_token_files, "op10_best_fit_packing": op10_best_fit_packing}
 
 
 def oracle_sql():
