@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sievework.llm import encoding, line_dedup, mixing, packing, quality, simhash, token_files
+from sievework.llm import embedding_dedup, encoding, line_dedup, mixing, packing, quality, simhash, token_files
 from sievework.runtime import spread, table
 
 
@@ -24,6 +24,10 @@ def op6_simhash(spark, sf_dir):
     return simhash.fingerprint_digest(spread(table(spark, sf_dir, "documents")))
 
 
+def op7_embedding_dedup(spark, sf_dir):
+    return embedding_dedup.near_duplicates(spread(table(spark, sf_dir, "embeddings")))
+
+
 def op8_token_files(spark, sf_dir):
     return token_files.token_digest(spark, spread(table(spark, sf_dir, "documents")), encoding.vocabulary("word_bpe_49k.json"))
 
@@ -33,7 +37,7 @@ def op10_best_fit_packing(spark, sf_dir):
 
 
 def queries():
-    return {"op1_source_mix": op1_source_mix, "op2_line_dedup": op2_line_dedup, "op5_quality_rules": op5_quality_rules, "op6_simhash": op6_simhash, "op8_token_files": op8_token_files, "op10_best_fit_packing": op10_best_fit_packing}
+    return {"op1_source_mix": op1_source_mix, "op2_line_dedup": op2_line_dedup, "op5_quality_rules": op5_quality_rules, "op6_simhash": op6_simhash, "op7_embedding_dedup": op7_embedding_dedup, "op8_token_files": op8_token_files, "op10_best_fit_packing": op10_best_fit_packing}
 
 
 def oracle_sql():
