@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from sievework.llm import embedding_dedup, encoding, line_dedup, mixing, packing, quality, simhash, token_files
+import corpus_pipeline
+from sievework.llm import chat, embedding_dedup, encoding, html_text, line_dedup, mixing, packing, quality, secrets, simhash, token_files
 from sievework.runtime import spread, table
 
 
@@ -15,6 +16,14 @@ def op2_line_dedup(spark, sf_dir):
     return line_dedup.line_digest(spread(table(spark, sf_dir, "documents")))
 
 
+def op3_html_text(spark, sf_dir):
+    return html_text.extract(spread(table(spark, sf_dir, "pages")))
+
+
+def op4_secret_scan(spark, sf_dir):
+    return secrets.secret_digest(spread(table(spark, sf_dir, "documents")))
+
+
 def op5_quality_rules(spark, sf_dir):
     out = quality.quality(spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "text"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
@@ -32,13 +41,17 @@ def op8_token_files(spark, sf_dir):
     return token_files.token_digest(spark, spread(table(spark, sf_dir, "documents")), encoding.vocabulary("word_bpe_49k.json"))
 
 
+def op9_chat_format(spark, sf_dir):
+    return chat.render_conversations(spread(table(spark, sf_dir, "conversations")))
+
+
 def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(spread(table(spark, sf_dir, "documents")), encoding.vocabulary("byte_bpe_50k.json"))
 
 
 def queries():
-    return {"op1_source_mix": op1_source_mix, "op2_line_dedup": op2_line_dedup, "op5_quality_rules": op5_quality_rules, "op6_simhash": op6_simhash, "op7_embedding_dedup": op7_embedding_dedup, "op8_token_files": op8_token_files, "op10_best_fit_packing": op10_best_fit_packing}
+    return {"op1_source_mix": op1_source_mix, "op2_line_dedup": op2_line_dedup, "op3_html_text": op3_html_text, "op4_secret_scan": op4_secret_scan, "op5_quality_rules": op5_quality_rules, "op6_simhash": op6_simhash, "op7_embedding_dedup": op7_embedding_dedup, "op8_token_files": op8_token_files, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing, "pipeline": corpus_pipeline.run}
 
 
 def oracle_sql():
-    return {"op2_line_dedup": line_dedup.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op9_chat_format": chat.ORACLE}
