@@ -39,9 +39,9 @@ ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 
 def _histograms(docs: DataFrame) -> DataFrame:
-    """(row, lang, t, w, n, c_*, class_hist, word_hist) for each document of docs."""
+    """(row, lang, t, w, n, c_*, class_hist, word_hist) from (row, lang, text)."""
     t = F.coalesce(F.col("text"), F.lit(""))
-    out = docs.select(F.struct("*").alias("row"), F.col("lang").alias("lang"), t.alias("t"))
+    out = docs.select("row", "lang", t.alias("t"))
     bare = F.btrim("t", F.lit(BLANKS))
     out = out.withColumn("w", F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, BLANK)))
     out = out.withColumn("n", F.size("w").cast("long")).withColumn("s0", F.col("t"))
@@ -53,13 +53,14 @@ def _histograms(docs: DataFrame) -> DataFrame:
     for lang, words in COMMON_WORDS.items():
         lits = F.array(*[F.lit(w) for w in words])
         listed = F.when(F.col("lang") == lang, lits) if listed is None else listed.when(F.col("lang") == lang, lits)
-    hits = F.transform("listed", lambda x: F.col("n") - F.size(F.array_remove(F.col("w"), x)))
-    out = out.withColumn("listed", listed).withColumn("hits", hits)
+    out = out.withColumn("listed", listed).withColumn("common", F.filter("w", lambda x: F.array_contains(F.col("listed"), x)))
+    hits = F.transform("listed", lambda x: (F.size("common") - F.size(F.array_remove(F.col("common"), x))).cast("long"))
+    out = out.withColumn("hits", hits)
     rest = F.col("n") - F.aggregate("hits", F.lit(0).cast("long"), lambda a, x: a + x)
     counts = {"class_hist": F.array(*[F.col(f"c_{c}") for c in CLASSES]), "word_hist": F.array_append("hits", rest)}
     share = lambda c, total: F.transform(c, lambda x: x / F.greatest(F.lit(1), total))
     out = out.withColumn("class_hist", share(counts["class_hist"], F.length("t"))).withColumn("word_hist", share(counts["word_hist"], F.col("n")))
-    return out.drop("listed", "hits")
+    return out.drop("listed", "common", "hits")
 
 
 def _references(hists: DataFrame, min_words: int) -> DataFrame:
@@ -76,11 +77,9 @@ def jensen_shannon(p, q):
     return F.sqrt(F.greatest(F.lit(0.0), F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / 2))
 
 
-def quality(docs: DataFrame, *, min_words: int = 50, min_common: int = 100, max_repeat_pct: int = 50, class_limit: float = 0.3, word_limit: float = 0.27) -> DataFrame:
-    """docs with the counts, base_failed, both distances and kept."""
+def _counts(docs: DataFrame) -> DataFrame:
+    """Histograms and all counts from (row, lang, text)."""
     hists = _histograms(docs)
-    refs = cut(_references(_histograms(docs.select("lang", "text")), min_words))
-    refs = F.broadcast(refs) if refs.count() <= MAX_LANGUAGES else refs
     lines = F.filter(F.split("t", "\n", -1), lambda x: F.btrim(x, F.lit(BLANKS)) != "")
     out = hists.withColumn("lines", lines).withColumn("b", F.length(F.bin("n")))
     window = "shiftleft(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), b) | cast(i as bigint)"
@@ -90,15 +89,28 @@ def quality(docs: DataFrame, *, min_words: int = 50, min_common: int = 100, max_
     twice = f"filter(windows, (x, k) -> {same('x', 'get(windows, k + 1)')} or {same('x', 'get(windows, k - 1)')})"
     out = out.withColumn("again", F.expr(f"sort_array(transform({twice}, x -> {place('x')}))"))
     repeat = F.expr("aggregate(again, named_struct('last', -3, 's', 0L), (a, x) -> named_struct('last', x, 's', a.s + least(3, x - a.last)), a -> a.s)")
-    out = out.withColumn("n_repeat_words", repeat).withColumn("n_dup_lines", (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"))
-    out = out.join(refs, F.col("lang").eqNullSafe(F.col("of")), "left")
-    long_enough = F.col("n") >= min_words
-    out = out.withColumn("class_distance", F.when(long_enough, jensen_shannon(F.col("class_hist"), F.col("class_ref")))).withColumn("word_distance", F.when(F.col("n") >= min_common, jensen_shannon(F.col("word_hist"), F.col("word_ref"))))
+    chars = (F.length("t") - F.col("c_blank")).cast("long")
+    dups = (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")
+    return out.select("row", "lang", "class_hist", "word_hist", F.col("n").alias("n_words"), chars.alias("word_chars"), F.col("c_symbol").alias("n_symbols"), dups.alias("n_dup_lines"), repeat.alias("n_repeat_words"), "n")
+
+
+def quality(docs: DataFrame, *, slim: bool = False, min_words: int = 50, min_common: int = 100, max_repeat_pct: int = 50, class_limit: float = 0.3, word_limit: float = 0.27) -> DataFrame:
+    """docs with the counts, base_failed, both distances and kept.
+
+    slim leaves the texts out of the result; the counts are then written to the shared folder and the texts read once.
+    """
+    columns = [c for c in docs.columns if c not in ADDED and not (slim and c == "text")]
+    counts = _counts(docs.select("lang", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")))
+    if slim:
+        counts = cut(counts)
+    refs = cut(_references(counts if slim else _histograms(docs.select("lang", "text", F.lit(0).alias("row"))), min_words))
+    refs = F.broadcast(refs) if refs.count() <= MAX_LANGUAGES else refs
+    out = counts.join(refs, F.col("lang").eqNullSafe(F.col("of")), "left")
+    out = out.withColumn("class_distance", F.when(F.col("n") >= min_words, jensen_shannon(F.col("class_hist"), F.col("class_ref")))).withColumn("word_distance", F.when(F.col("n") >= min_common, jensen_shannon(F.col("word_hist"), F.col("word_ref"))))
     failed = (F.col("n") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n"))
     far = F.coalesce(F.col("class_distance") > class_limit, F.lit(False)) | F.coalesce(F.col("word_distance") > word_limit, F.lit(False))
     out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
-    added = {"n_words": F.col("n"), "word_chars": (F.length("t") - F.col("c_blank")).cast("long"), "n_symbols": F.col("c_symbol")}
-    return out.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in ADDED], *[added.get(c, F.col(c)).alias(c) for c in ADDED])
+    return out.select(*[F.col(f"row.`{c}`") for c in columns], *ADDED)
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:

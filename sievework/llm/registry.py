@@ -25,7 +25,7 @@ def op4_secret_scan(spark, sf_dir):
 
 
 def op5_quality_rules(spark, sf_dir):
-    out = quality.quality(spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "text"))
+    out = quality.quality(spread(table(spark, sf_dir, "documents")).select("doc_id", "lang", "text"), slim=True)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance")
 
 
