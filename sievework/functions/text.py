@@ -53,8 +53,9 @@ def char_jaccard(a: Column, b: Column) -> Column:
 
 def shingles(c: Column, n: int = 4, least: int = 20) -> Column:
     """Distinct character n-grams of a normalised text that is long enough, else an empty array."""
-    grams = F.transform(F.sequence(F.lit(1), F.length(c) - (n - 1)), lambda i: F.substring(c, i, F.lit(n)))
-    return F.when(F.length(c) >= least, F.array_distinct(grams)).otherwise(F.array().cast("array<string>"))
+    starts = F.sequence(F.lit(0), F.length(c) - n)
+    grams = F.transform(F.array(F.split(c, "")), lambda cs: F.transform(starts, lambda i: F.concat(*[F.get(cs, i + k) for k in range(n)])))
+    return F.when(F.length(c) >= least, F.array_distinct(F.flatten(grams))).otherwise(F.array().cast("array<string>"))
 
 
 def fold_confusables(c: Column) -> Column:
