@@ -1,8 +1,8 @@
 """Token-ID output: Arrow IPC files of equal-length sequences, with random access without copying.
 
 A part holds the token stream of a range of documents. NAME.arrow is an Arrow file whose columns `ids`
-(fixed-size list of uint32) and `mask` (fixed-size list of uint8) hold the stream cut into sequences of
-seq_len; only the part's last sequence is padded (id 0, mask 0). Every record batch but the last has
+(fixed-size list of uint16, or uint32 for vocabularies over 65,536) and `mask` (fixed-size list of bits) hold the
+stream cut into sequences of seq_len; only the part's last sequence is padded (id 0, mask 0). Every record batch but the last has
 BATCH sequences, so sequence i is row i % BATCH of batch i // BATCH and a memory map serves it in place.
 NAME.docs.arrow lists the part's documents: doc_id, offset in the part's stream, n_tokens.
 
@@ -48,7 +48,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, *, end_id:
         store, root = fs.FileSystem.from_uri(folder)
         name = f"part-{part:06d}"
         temp = f"{root}/.{name}-{uuid.uuid4().hex}"
-        lists = {"ids": pa.list_(pa.uint32(), seq_len), "mask": pa.list_(pa.uint8(), seq_len)}
+        kind = np.uint16 if max(enc.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else np.uint32
+        lists = {"ids": pa.list_(pa.from_numpy_dtype(kind), seq_len), "mask": pa.list_(pa.bool_(), seq_len)}
         sinks, writers = [], []
 
         def begin():
@@ -58,9 +59,8 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, *, end_id:
                 writers.append(pa.ipc.new_file(sinks[-1], schema))
 
         def put(raw: bytes, real: int):
-            ids = pa.array(np.frombuffer(raw, "<u4"))
-            mask = np.zeros(len(ids), np.uint8)
-            mask[:real] = 1
+            ids = pa.array(np.frombuffer(raw, "<u4").astype(kind))
+            mask = np.arange(len(ids)) < real
             writers[0].write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(ids, seq_len), pa.FixedSizeListArray.from_arrays(pa.array(mask), seq_len)], names=["ids", "mask"]))
 
         held, total, n_docs, full = bytearray(), 0, 0, BATCH * seq_len * 4
@@ -140,7 +140,7 @@ def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
 
 
 def sequence(folder: str, name: str, i: int):
-    """Sequence i of a part and its mask, as read-only views of the mapped file."""
+    """Sequence i of a part as a read-only view of the mapped file, and its mask."""
     import pyarrow as pa
     from pyarrow import fs
 
@@ -148,7 +148,8 @@ def sequence(folder: str, name: str, i: int):
     path = f"{root}/{name}.arrow"
     stream = pa.ipc.open_file(pa.memory_map(path) if isinstance(store, fs.LocalFileSystem) else store.open_input_file(path))
     b = stream.get_batch(i // BATCH)
-    return tuple(b.column(c)[i % BATCH].values.to_numpy(zero_copy_only=True) for c in (0, 1))
+    ids, mask = (b.column(c)[i % BATCH].values for c in (0, 1))
+    return ids.to_numpy(zero_copy_only=True), mask.to_numpy(zero_copy_only=False)
 
 
 def token_digest(spark: SparkSession, docs: DataFrame, vocabulary: str, *, end_id: int = 2, seq_len: int = 2048) -> DataFrame:
