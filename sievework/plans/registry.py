@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from sievework.functions import stats, text, urls
-from sievework.operators import dataset, decision, fusion, links, metrics, signals, similarity
+from sievework.operators import dataset, decision, fusion, images, links, metrics, segments, signals, similarity
 from sievework.operators.components import connected_components
 from sievework.runtime import spread, table
 
@@ -390,3 +390,23 @@ def nation_returns(spark, d):
 def resume_anti(spark, d):
     done = table(spark, d, "lineitem").where("l_discount > 0.095 AND l_quantity > 45").select(F.col("l_suppkey").alias("s_suppkey"))
     return dataset.resume(table(spark, d, "supplier").select("s_suppkey"), done, "s_suppkey")
+
+
+@query("""
+WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
+i AS (SELECT doc_id, s, unnest(list_transform(range(least(8, len(s))), lambda i: round_even(i * (len(s) - 1) / greatest(1, least(8, len(s)) - 1), 0)::INT)) AS place FROM s WHERE len(s) > 0)
+SELECT doc_id, place, length(regexp_replace(s[place + 1], '[^0-9]', '', 'g'))::DOUBLE AS delta FROM i
+""")
+def segment_effects(spark, d):
+    """Digits as the score: what eight lines of each document carry, by leaving each out of the whole text."""
+    cases = docs(spark, d).select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("segments"))
+    scored = segments.deletions(cases, limit=8).select("id", "index", F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("score"))
+    return segments.effects(scored).select(F.col("id").alias("doc_id"), F.col("index").alias("place"), "delta")
+
+
+@query()
+def image_index(spark, d):
+    """Sign and slope bits of vectors as image hashes: label 0 stands for what normal cases show."""
+    code = lambda cond: F.expr(f"aggregate(sequence(0, 63), 0L, (a, i) -> shiftleft(a, 1) | if({cond}, 1L, 0L))")
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("ref"), "label", code("get(embedding, i) > 0").alias("phash"), code("get(embedding, i + 1) > get(embedding, i)").alias("dhash"))
+    return images.build_index(v.where("label > 0"), v.where("label = 0"))
