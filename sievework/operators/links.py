@@ -14,6 +14,7 @@ MESSAGING = {"line.me": "LINE", "lin.ee": "LINE", "t.me": "Telegram", "telegram.
 RISKY_TLDS = ["shop", "top", "cc", "site", "xyz", "asia", "store", "online", "icu", "vip", "buzz", "cyou", "sbs"]
 SHOP_WORDS = ["貨到付款", "限時", "倒數", "特價", "原價", "折扣", "下單", "立即購買", "搶購", "僅剩", "庫存", "免運", "七天鑑賞", "買一送一"]
 COMPANY_WORDS = ["統一編號", "統編", "公司地址", "營業登記", "客服電話", "退貨政策", "隱私權政策"]
+INVEST_WORDS = ["飆股", "老師", "帶單", "選股", "加入群組", "股票群", "投資群", "領取名單", "免費領取", "穩賺", "保證獲利", "內線"]
 URL_PATTERN = r"(?iU)(?<![@\w.])((?:https?://)?(?:[a-z0-9-]+\.)+(?:com|net|org|tw|cc|top|shop|xyz|site|vip|me|ee|ly|io|co|gd|at|info|online|store|asia|icu|app|link|cn|hk|buzz|cyou|sbs)(?:/[^\s，。、）)」」\"'<>]*)?)"
 
 
@@ -65,5 +66,6 @@ def link_flags(hosts: Column, final_host: Column, start_host: Column, *, status:
         flag(odd, "random_host", F.when(risky, "medium").otherwise("low")),
         flag((status == "error") | ((status == "unusable") & reason.isin("http_error", "load_error", "unreachable")), "unreachable", "low"),
         flag((words(SHOP_WORDS) >= 3) & (words(COMPANY_WORDS) == 0), "one_page_shop", "medium"),
+        flag(words(INVEST_WORDS) >= 2, "investment_landing", "medium"),
     ]
     return F.filter(F.array(*items), lambda x: x.isNotNull())

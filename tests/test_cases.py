@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from sievework.operators import brands, images, reports, review, segments, similarity
+from sievework.operators import brands, images, links, reports, review, segments, similarity
 
 SCHEMA = "case_id string, group_id string, pair_id string, split string, label string, label_source string, reviewer string, permission string, notes string, status string, scope string, synthetic boolean, texts map<string,string>"
 
@@ -94,3 +94,10 @@ def test_reports(spark):
     assert reports.markdown_table(small, 1).splitlines() == ["| k | v |", "| --- | --- |", "| a\\|b | 0.5 |", "| – | 2.0 |"]
     assert reports.splice("x <a> old <b> y", "new", "<a>", "<b>") == "x <a>\nnew\n<b> y"
     assert reports.csv_with_mark(small) == "﻿k,v\r\na|b,0.5\r\n,2.0\r\n"
+
+
+def test_investment_page_flag(spark):
+    df = spark.createDataFrame([("飆股 老師 名單",), ("老師 節快樂",), (None,)], "t string").coalesce(1)
+    no, host = F.lit(False), F.lit("plain.example")
+    flags = links.link_flags(F.array(host), host, host, status=F.lit("success"), path=F.lit("/"), text=F.col("t"), listed=no, lookalike=no, reason=F.lit(None).cast("string"))
+    assert [[(x.signal, x.level) for x in r[0]] for r in df.select(flags).collect()] == [[("investment_landing", "medium")], [], []]
