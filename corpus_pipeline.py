@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written a
 next one's docs. All but the last return the columns of documents:
 
 quality     documents that the quality rules reject go;
-line_dedup  lines that ten or more documents share go from all of them;
+line_dedup  of a line that ten or more documents share only the first occurrence stays;
 simhash     one document of each near-duplicate group stays, that with the least doc_id;
 mixing      sources are repeated or reduced to their target shares;
 packing     token pieces get their places in sequences.
@@ -28,7 +28,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return line_dedup.drop_lines(docs).select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return line_dedup.drop_lines(docs, keep_first=True).select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
