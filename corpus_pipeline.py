@@ -5,11 +5,12 @@ next one's docs. All but the last return the columns of documents:
 
 quality     documents that the quality rules reject go;
 line_dedup  of a line that ten or more documents share only the first occurrence stays;
-simhash     one document of each near-duplicate group stays, that with the least doc_id;
+simhash     one document of each group of near copies (Jaccard 0.8 or more on five-word shingles) stays, that with
+            the least doc_id;
 mixing      sources are repeated or reduced to their target shares;
 packing     token pieces get their places in sequences.
 
-ORACLE_SQL is None: SQL has neither the fingerprints' trie nor the tokenizer. The tests hold each stage against a
+ORACLE_SQL is None: SQL has neither the shingles' hashes nor the tokenizer. The tests hold each stage against a
 brute-force version.
 """
 
@@ -18,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sievework.llm import encoding, line_dedup, mixing, packing, quality, simhash
+from sievework.llm import encoding, line_dedup, mixing, near_copies, packing, quality
 from sievework.runtime import new_folder, spread, table
 
 
@@ -32,7 +33,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_one(docs)
+    return near_copies.keep_one(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
