@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +29,7 @@ PLACEHOLDER = re.compile(r"change_?me|example|placeholder|dummy|your[_-]|xxx|\*\
 LEXEME = re.compile(r"""(?P<comment>/\*.*?\*/)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`)|(?P<op>=>|:=|==|!=|<=|>=|[=:+])|(?P<word>[^\s"'`=:+,;(){}\[\]<>]+)|(?P<end>[\n,;(){}\[\]<>])|(?P<other>["'`])""", re.S)
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.-]*", re.A)
 SCORE = 4
+REPEATS = 10_000
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -85,33 +88,71 @@ def literal_score(name: str, literal: str) -> int:
     return 2 + (n >= 8) + (entropy >= 3) + (kinds >= 2) - (n < 6) * 2
 
 
+class Parts:
+    """What a name is bound to: literals (text, start, end) and the Parts of other names; size counts all literals."""
+
+    __slots__ = ("items", "size")
+
+    def __init__(self):
+        self.items, self.size = [], 0
+
+    def add(self, item, size: int):
+        self.items.append(item)
+        self.size += size
+
+    def literals(self):
+        """All literals in order. Over REPEATS of them, a name that comes again is left out: its spans are there already."""
+        out, seen, todo = [], set(), [self]
+        while todo:
+            item = todo.pop()
+            if isinstance(item, tuple):
+                out.append(item)
+            elif self.size <= REPEATS or id(item) not in seen:
+                seen.add(id(item))
+                todo += reversed(item.items)
+        return out
+
+
 def lexed_spans(text: str) -> list[tuple[str, int, int]]:
     """Spans of literals that reach a sensitive name and score enough."""
     if not SENSITIVE.search(text):
         return []
-    constants: dict[str, list[tuple[str, int, int]]] = {}
+    constants: dict[str, Parts] = {}
     out = set()
     for name, operands in assignments(text):
-        parts = []
+        parts = Parts()
         for literal, constant, a, b, quoted in operands:
             if constant in constants:
-                parts += constants[constant][:8]
+                parts.add(constants[constant], constants[constant].size)
             elif quoted or constant is None or any(c.isdigit() for c in literal):
-                parts.append((literal, a, b))
-        if not parts:
+                parts.add((literal, a, b), 1)
+        if not parts.items:
             continue
         if IDENTIFIER.fullmatch(name):
             constants[name] = parts
-        if literal_score(name, "".join(p[0] for p in parts)) >= SCORE:
-            out |= {(a, b) for _, a, b in parts if b > a}
+        if not SENSITIVE.search(name):
+            continue
+        literals = parts.literals()
+        if literal_score(name, "".join(p[0] for p in literals)) >= SCORE:
+            out |= {(a, b) for _, a, b in literals if b > a}
     return [("lexed", a, b) for a, b in sorted(out)]
 
 
 def all_spans(text: str) -> list[tuple[str, int, int]]:
-    """Base spans and those the lexer adds outside of them."""
-    base = base_spans(text)
+    """Base spans, and of those the lexer finds what lies outside of them."""
+    base, added = base_spans(text), []
     taken = sorted((a, b) for _, a, b in base)
-    added = [s for s in lexed_spans(text) if not any(a < s[2] and s[1] < b for a, b in taken)]
+    ends = list(accumulate((b for _, b in taken), max))
+    for kind, a, b in lexed_spans(text):
+        for at in range(bisect_right(ends, a), len(taken)):
+            x, y = taken[at]
+            if x >= b:
+                break
+            if a < x:
+                added.append((kind, a, x))
+            a = max(a, y)
+        if a < b:
+            added.append((kind, a, b))
     return sorted(base + added, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
