@@ -259,6 +259,18 @@ def components_of_parts(spark, d):
     return connected_components(e)
 
 
+@query()
+def shared_key_groups_whole(spark, d):
+    """shared_key_groups over all orders."""
+    return dataset.key_groups(table(spark, d, "orders").select(F.col("o_orderkey").alias("case"), F.col("o_custkey").alias("key")))
+
+
+@query()
+def components_of_parts_whole(spark, d):
+    """components_of_parts over all lines; SQL's recursive twin keeps every pair of connected nodes, which is too many here."""
+    return connected_components(table(spark, d, "lineitem").select((F.col("l_partkey") + 1000000).alias("src"), F.col("l_suppkey").alias("dst")))
+
+
 @query()
 def near_dup_pairs(spark, d):
     keys = docs(spark, d).select(F.col("doc_id").alias("id"), text.nfkc("text").alias("t")).select("id", text.word_key(F.col("t")).alias("k"))
@@ -351,6 +363,15 @@ def ood_distance(spark, d):
     return fusion.distance(v, "x", [0.1] * 8, np.eye(8).tolist(), [0.5] * 8, "d").select("vec_id", F.round("d", 6).alias("distance"))
 
 
+@query(ORACLES["ood_distance"].replace("range(1, 9)", "range(1, 65)"))
+def ood_distance_whole(spark, d):
+    """ood_distance over all 64 components of a vector."""
+    import numpy as np
+
+    v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+    return fusion.distance(v, "x", [0.1] * 64, np.eye(64).tolist(), [0.5] * 64, "d").select("vec_id", F.round("d", 6).alias("distance"))
+
+
 @query()
 def ood_fit(spark, d):
     v = table(spark, d, "embeddings")
@@ -404,6 +425,14 @@ def segment_effects(spark, d):
     return segments.effects(scored).select(F.col("id").alias("doc_id"), F.col("index").alias("place"), "delta")
 
 
+@query(ORACLES["segment_effects"].replace("least(8, ", "least(64, "))
+def segment_effects_whole(spark, d):
+    """segment_effects with the operator's own limit of 64 lines a document."""
+    cases = docs(spark, d).select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("segments"))
+    scored = segments.deletions(cases).select("id", "index", F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("score"))
+    return segments.effects(scored).select(F.col("id").alias("doc_id"), F.col("index").alias("place"), "delta")
+
+
 @query()
 def image_index(spark, d):
     """Sign and slope bits of vectors as image hashes: label 0 stands for what normal cases show."""
