@@ -1,15 +1,17 @@
 """Lines that many documents share: found in sorted hash ranges, returned as run-length keep bitmaps.
 
 A line's key is the line stripped of ASCII white space with A-Z lower-cased. Its 128-bit hash goes, with the
-document and the position, to a range of hashes; there rows stand sorted by hash, document and position, and
-one pass over a hash sees where each document first shows it, so it counts documents, not lines. Hashes
-with at least one in HOT_KEYS of all lines (HOT_KEYS at most, which bounds what is broadcast) are counted
-beforehand with partial sums, and their rows are dealt over SALTS ranges each, so no range grows with one line. What comes back per document is its kept runs of lines
-(start, length): a run-length bitmap, not text.
+document and the position, to a range of (hash, document, text); there rows stand sorted by hash, document and position,
+and one pass sees where each document first shows a key. A common key spans as many ranges as its rows
+fill, since documents split it; every range adds up its first occurrences, and the partial counts are added per hash, so documents are
+counted, not lines, and no task gets a whole key. The sums go back to the lines: keys with at least one in HOT_KEYS of
+all first occurrences (HOT_KEYS keys at most, which bounds the broadcast) without a shuffle, all others by a join on the hash. What comes back per document is its kept runs of
+lines (start, length): a run-length bitmap, not text.
 
 Rows: a null or empty text is one empty line; keys under min_chars code points are never dropped; rows with
-equal doc_id and text are one document, each of them returned; a null doc_id is a document like others;
-other columns pass through untouched; an empty table gives an empty result.
+one doc_id count as one document, each of them returned; without a doc_id every different text is a document; other
+columns pass through untouched (drop_lines replaces those named like its own, without_shared_lines none); an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,7 +23,6 @@ from pyspark.sql.window import Window
 from sievework.runtime import cut
 
 HOT_KEYS = 10_000
-SALTS = 64
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -41,24 +42,21 @@ def line_hashes(docs: DataFrame, min_chars: int = 1) -> DataFrame:
 
 def dropped_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """(doc_id, k, pos) of lines whose key is in min_docs documents; keep_first spares a key's first occurrence."""
-    rows = cut(line_hashes(docs, min_chars))
     by_key = ["h1", "h2"]
-    counts = rows.groupBy(*by_key).agg(F.count(F.lit(1)).alias("n"))
-    hot = cut(counts.where(F.col("n") >= max(min_docs, rows.count() // HOT_KEYS)))
-    salted = rows.join(F.broadcast(hot.select(*by_key, F.lit(True).alias("hot"))), by_key, "left").withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "k"), F.lit(SALTS))).otherwise(0))
-    ranged = salted.repartitionByRange(*by_key, "salt")
-    run = Window.partitionBy(*by_key, "salt").orderBy("doc_id", "k", "pos")
-    whole = Window.partitionBy(*by_key, "salt")
-    again = F.lag(F.lit(True)).over(run).isNotNull() & F.lag("doc_id").over(run).eqNullSafe(F.col("doc_id")) & (F.lag("k").over(run) == F.col("k"))
-    stream = ranged.withColumn("opens", F.when(again, 0).otherwise(1)).withColumn("in_run", F.sum("opens").over(whole)).withColumn("nth", F.row_number().over(run))
-    lone = stream.where(F.col("hot").isNull() & (F.col("in_run") >= min_docs))
-    runs = rows.join(F.broadcast(hot.select(*by_key)), by_key).groupBy(*by_key, "doc_id", "k").agg(F.min("pos").alias("pos"))
-    shared = runs.groupBy(*by_key).agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "k", "pos")).alias("first")).where(F.col("docs") >= min_docs)
-    common = rows.join(F.broadcast(shared), by_key)
+    rows = cut(line_hashes(docs, min_chars).withColumn("nameless", F.when(F.col("doc_id").isNull(), F.col("k")).otherwise(0)))
+    document = [*by_key, "doc_id", "nameless"]
+    nth = F.row_number().over(Window.partitionBy(*document).orderBy("k", "pos"))
+    firsts = rows.repartitionByRange(*document).withColumn("nth", nth).where("nth = 1")
+    counts = firsts.groupBy(*by_key).agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("doc_id", "k", "pos")).alias("first"))
+    shared = cut(counts.where(F.col("docs") >= min_docs))
+    often = (shared.agg(F.sum("docs")).first()[0] or 0) // HOT_KEYS + 1
+    hot, cold = (shared.where(c).select(*by_key, "first") for c in (F.col("docs") >= often, F.col("docs") < often))
+    flagged = rows.join(F.broadcast(hot), by_key, "left")
+    rest = flagged.where("first is null").drop("first").join(cold, by_key)
+    common = flagged.where("first is not null").unionByName(rest)
     if keep_first:
-        lone = lone.where("nth > 1")
         common = common.where(~F.struct("doc_id", "k", "pos").eqNullSafe(F.col("first")))
-    return lone.select("doc_id", "k", "pos").unionByName(common.select("doc_id", "k", "pos"))
+    return common.select("doc_id", "k", "pos")
 
 
 def keep_bitmaps(docs: DataFrame, **options) -> DataFrame:
@@ -88,6 +86,13 @@ def drop_lines(docs: DataFrame, **options) -> DataFrame:
     return counted.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in replaced], *added)
 
 
+def without_shared_lines(docs: DataFrame, **options) -> DataFrame:
+    """docs with text and n_chars (where there is one) of the lines that stay; all other columns as they are."""
+    out = drop_lines(docs.select("doc_id", "text", F.struct("*").alias("row")), **options)
+    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
+    return out.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+
+
 def line_digest(docs: DataFrame, **options) -> DataFrame:
     out = drop_lines(docs.select("doc_id", "text"), **options)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

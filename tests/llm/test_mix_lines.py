@@ -17,6 +17,7 @@ def corpus(n=300, seed=3):
         text = "\n".join(rng.choice(lines) if rng.random() < 0.4 else f"own {i} {j} " + "w " * rng.randint(0, 9) for j in range(rng.randint(1, 12)))
         rows.append((i, text, rng.choice(["a", "a", "a", "b", "Z", "é", None, "none"])))
     rows += [(1000, None, "a"), (1001, "", "none"), (None, "no id\ntail", "b"), (5, rows[5][1], rows[5][2]), (1002, "tail\n" * 3000, "b")]
+    rows += [(2000, f"twice named\n{i}", "b") for i in range(12)] + [(2001 + i, "twice named", "b") for i in range(8)] + [(None, f"nameless\n{i}", None) for i in range(11)]
     return rows
 
 
@@ -25,11 +26,14 @@ def brute(rows, min_docs, keep_first):
     docs = defaultdict(set)
     for d, t, _ in rows:
         for line in (t or "").split("\n"):
-            docs[key(line)].add((d, t or ""))
-    out = []
+            docs[key(line)].add(t or "" if d is None else d)
+    out, first = [], {}
+    for d, t, _ in sorted(rows, key=lambda r: (r[0] is not None, r[0])) if keep_first else ():
+        for i, x in enumerate((t or "").split("\n")):
+            first.setdefault(key(x), (d, i))
     for d, t, _ in rows:
         lines = (t or "").split("\n")
-        drop = [len(key(x)) >= 1 and len(docs[key(x)]) >= min_docs for x in lines]
+        drop = [len(key(x)) >= 1 and len(docs[key(x)]) >= min_docs and first.get(key(x)) != (d, i) for i, x in enumerate(lines)]
         kept = "\n".join(x for x, y in zip(lines, drop) if not y)
         out.append((d, len(lines), sum(drop), hashlib.sha256(kept.encode()).hexdigest()))
     return out
@@ -57,6 +61,14 @@ def test_keep_first_spares_one_line_per_key(spark):
     assert kept[0] == "common\nown 0" and kept[1] == "own 1"
 
 
+def test_a_line_of_every_document_goes_and_own_columns_stay(spark):
+    rows = [(i, f"everywhere\nown {i}", i * 7, "x") for i in range(500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_lines long, keep_runs string")
+    got = line_dedup.without_shared_lines(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect())) == [(i, f"own {i}", i * 7, "x") for i in range(500)]
+
+
 def fill(words, ranks, share=1.5, limit=2, weights=(3, 1, 2)):
     total, capped = share * sum(words), {}
     while True:
