@@ -7,10 +7,12 @@ differ within the budget, and each task walks its two subtrees together, level b
 up, pairs beyond the budget or with an empty side are pruned, and small pairs are verified by counting bits.
 D follows the number of fingerprints; a node with more than NODE of them is dealt in chunks, chunk against
 chunk, so a dense group is many tasks and still compared in full. Tasks return spanning forests, not pairs.
+A class is known by its fingerprint, not by a document's id.
 
 Rows: null and empty texts have the fingerprint zero and link like any other; texts under three words are one
-shingle; repeated rows share a class; a null doc_id gets its group's component; other columns are ignored by the
-digest and kept by keep_one; an empty table gives an empty result.
+shingle; repeated rows share a class; documents without a doc_id link and bridge like others, and a group's
+component is its least doc_id (null if it has none); other columns are ignored by the digest and kept by keep_one;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ from sievework.operators.components import connected_components
 from sievework.runtime import cut
 
 NODE = 16_384
+MAX_DEPTH = 24  # 2 ** 25 nodes of NODE fingerprints each; beyond 5 * 10 ** 11 of them nodes are dealt in more chunks
+MAX_BROADCAST = 1 << 20  # node counts; more are joined instead of broadcast
 HALF_BUDGET, BUDGET = 1, 3
 LEAF = 64
 
@@ -44,15 +48,21 @@ def fingerprint(text: str | None, shingle: int = 3) -> int:
         starts = [0, *(ends[: len(words) - shingle] + 1).tolist()]
         digest = xxhash.xxh64_intdigest
         hashes = [digest(joined[a:b], 42) for a, b in zip(starts, ends[shingle - 1 :].tolist())]
+    return majority(np.array(hashes, "<u8"))
+
+
+def majority(hashes) -> int:
+    """64 bits, each set where over half of the hashes (an array of unsigned 64-bit numbers) have it."""
+    import numpy as np
+
     ones, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, 100_000):
-        part = np.array(hashes[at : at + 100_000], "<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+        ones += np.unpackbits(hashes[at : at + 100_000].astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, fp): fp is the fingerprint as a signed long; doc_id may be any value that tells documents apart."""
 
     def run(batches):
         import numpy as np
@@ -60,9 +70,10 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
         for batch in batches:
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(fps)], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select("doc_id", "text")
+    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fp long")
 
 
 def walk(a, b, depth: int, errors: int, same: bool):
@@ -115,14 +126,15 @@ def walk(a, b, depth: int, errors: int, same: bool):
 
 
 def trie_links(classes: DataFrame) -> DataFrame:
-    """(src, dst) edges between the reps of (fp, rep) whose fingerprints are within BUDGET bits, as forests by task."""
+    """(src, dst) edges between fingerprints of (fp), all different, that are within BUDGET bits, as forests by task."""
     n = classes.count()
-    depth = min(16, max(8, math.ceil(math.log2(max(1, n) / 4096))))
+    depth = min(MAX_DEPTH, max(8, math.ceil(math.log2(max(1, n) / 4096))))
     turned = F.explode(F.array(F.struct(F.lit(0).alias("turn"), F.col("fp").alias("key")), F.struct(F.lit(1).alias("turn"), F.expr("shiftleft(fp, 32) | shiftrightunsigned(fp, 32)").alias("key"))))
-    keys = classes.select("rep", turned.alias("t")).select("rep", "t.turn", "t.key", F.shiftrightunsigned(F.col("t.key"), 64 - depth).cast("int").alias("node"))
-    nodes = cut(keys.groupBy("turn", "node").agg(F.ceil(F.count(F.lit(1)) / F.lit(NODE)).cast("int").alias("chunks")))  # 2 ** (depth + 1) rows at most
-    own = F.broadcast(nodes.withColumnRenamed("chunks", "own"))
-    other = F.broadcast(nodes.select("turn", F.col("node").alias("partner"), F.col("chunks").alias("other")))
+    keys = classes.select(turned.alias("t")).select("t.turn", "t.key", F.shiftrightunsigned(F.col("t.key"), 64 - depth).cast("int").alias("node"))
+    nodes = cut(keys.groupBy("turn", "node").agg(F.ceil(F.count(F.lit(1)) / F.lit(NODE)).cast("int").alias("chunks")))
+    small = F.broadcast if 2 ** (depth + 1) <= MAX_BROADCAST else (lambda t: t)
+    own = small(nodes.withColumnRenamed("chunks", "own"))
+    other = small(nodes.select("turn", F.col("node").alias("partner"), F.col("chunks").alias("other")))
     masks = F.array(F.lit(0), *[F.lit(1 << i) for i in range(depth)])
     pairs = keys.join(own, ["turn", "node"]).withColumn("partner", F.explode(F.transform(masks, lambda m: F.col("node").bitwiseXOR(m)))).join(other, ["turn", "partner"])
     mine = F.pmod(F.xxhash64("key"), F.col("own")).cast("int")
@@ -131,7 +143,7 @@ def trie_links(classes: DataFrame) -> DataFrame:
     units = dealt.select(
         "turn", F.least("node", "partner").alias("low"), F.greatest("node", "partner").alias("high"),
         F.when(first, F.col("i")).otherwise(F.col("j")).alias("ci"), F.when(first, F.col("j")).otherwise(F.col("i")).alias("cj"),
-        F.when(first, 0).otherwise(1).alias("side"), "key", "rep",
+        F.when(first, 0).otherwise(1).alias("side"), "key",
     )
 
     def join(table):
@@ -140,11 +152,12 @@ def trie_links(classes: DataFrame) -> DataFrame:
 
         from sievework.llm.forest import Forest
 
-        at = {c: table.column(c)[0].as_py() for c in ("low", "high", "ci", "cj")}
-        side, key, rep = (table.column(c).to_numpy() for c in ("side", "key", "rep"))
+        at = {c: table.column(c)[0].as_py() for c in ("turn", "low", "high", "ci", "cj")}
+        side, key = (table.column(c).to_numpy() for c in ("side", "key"))
         key = key.view(np.uint64)
         order = np.lexsort((key, side))
-        side, key, rep = side[order], key[order], rep[order]
+        side, key = side[order], key[order]
+        fp = (key << np.uint64(32) | key >> np.uint64(32) if at["turn"] else key).view(np.int64)
         cut_at = int(np.searchsorted(side, 1))
         same = at["low"] == at["high"] and at["ci"] == at["cj"]
         a, b, shift = (key, key, 0) if same else (key[:cut_at], key[cut_at:], cut_at)
@@ -153,17 +166,19 @@ def trie_links(classes: DataFrame) -> DataFrame:
             for x, y in walk(a, b, depth, int(at["low"] != at["high"]), same):
                 forest.link(x, y + shift)
         x, y = forest.edges()
-        return pa.table({"src": rep[x], "dst": rep[y]})
+        return pa.table({"src": fp[x], "dst": fp[y]})
 
     return units.groupBy("turn", "low", "high", "ci", "cj").applyInArrow(join, "src long, dst long")
 
 
 def near_duplicates(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): component_id is the least doc_id that links lead to."""
-    prints = cut(fingerprints(docs, shingle))
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
-    parts = connected_components(trie_links(classes.where("rep is not null")))
-    named = classes.join(parts, F.col("rep") == F.col("node"), "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    prints = cut(fingerprints(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), shingle))
+    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    parts = connected_components(trie_links(classes))
+    grouped = cut(classes.join(parts, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("part")))
+    ids = grouped.groupBy("part").agg(F.min("least").alias("component_id"))
+    named = grouped.join(ids, "part").select("fp", "component_id")
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
@@ -171,9 +186,18 @@ def fingerprint_digest(docs: DataFrame, **options) -> DataFrame:
     return near_duplicates(docs, **options).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group: the one with the least doc_id (of equal ids one row)."""
-    heads = near_duplicates(docs.select("doc_id", "text"), **options).where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("head")).distinct()
-    packed = docs.select(F.col("doc_id").alias("head"), F.struct("*").alias("d"))
-    kept = packed.join(heads.hint("shuffle_hash"), "head", "left_semi")
-    return kept.dropDuplicates(["head"]).select("d.*")
+def keep_one(docs: DataFrame, *, shingle: int = 3) -> DataFrame:
+    """One document of each group: that with the least doc_id, then the least hash of its text; ids that are null come last."""
+    marked = docs.select(F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), "text", F.struct("*").alias("d"))
+    prints = cut(fingerprints(marked.select(F.struct("_id", "_h").alias("doc_id"), "text"), shingle))
+    classes = cut(prints.groupBy("fp").agg(F.min(_place("doc_id")).alias("first")))
+    parts = connected_components(trie_links(classes))
+    grouped = classes.join(parts, F.col("fp") == F.col("node"), "left").select(F.coalesce("component", "fp").alias("part"), "first")
+    heads = grouped.groupBy("part").agg(F.min("first").alias("f")).select(F.col("f.id").alias("head"), F.col("f.h").alias("mark"))
+    kept = marked.join(heads.hint("shuffle_hash"), F.col("_id").eqNullSafe(F.col("head")) & (F.col("_h") == F.col("mark")), "left_semi")
+    return kept.dropDuplicates(["_id", "_h"]).select("d.*")
+
+
+def _place(c: str):
+    """Order of documents: by doc_id, nulls last, then by the text's hash."""
+    return F.struct(F.col(f"{c}._id").isNull().alias("last"), F.col(f"{c}._id").alias("id"), F.col(f"{c}._h").alias("h"))

@@ -67,6 +67,16 @@ def test_near_duplicates_against_brute_force(spark, monkeypatch):
     assert simhash.fingerprint_digest(docs.limit(0)).count() == 0
 
 
+def test_documents_without_an_id(spark):
+    rows = [(None, "a b c d e"), (None, "f g h i j"), (None, "a b c d e"), (4, "f g h i j"), (9, "k l m n o"), (9, "p q r s t")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.fingerprint): r.component_id for r in simhash.fingerprint_digest(docs).collect()}
+    name = lambda t: f"{simhash.fingerprint(t):016x}"
+    assert got[None, name("a b c d e")] is None and got[None, name("f g h i j")] == 4
+    kept = sorted((r.doc_id or 0, r.text) for r in simhash.keep_one(docs).collect())
+    assert kept == [(0, "a b c d e"), (4, "f g h i j"), (9, "k l m n o"), (9, "p q r s t")]
+
+
 def test_fingerprint_of_known_shingles():
     import xxhash
 
