@@ -1,16 +1,20 @@
 """Embedding near-duplicates by an inverted multi-index.
 
-Vectors are scaled to length one in double precision; equal vectors are one class. Two codebooks, one per
-half of the vector, are fitted on a bounded sample; a vector's home is the cell of its nearest centroid in
-each. A vector then visits further cells of the product grid in order of the sum of its two half distances
-(multi-sequence order), as many as the sample's linked pairs need for target_recall, and at least MIN_CELLS.
+Vectors are scaled to length one in double precision; equal vectors are one class with a key of its own. Two
+codebooks, one per half of the vector, are fitted on a bounded sample of each length; a vector's home is the cell
+of its nearest centroid in each. A vector then visits further cells of the product grid in order of the sum of its
+two half distances (multi-sequence order). How many is calibrated per query vector, not per pair: as many as
+target_recall needs both for partners planted at the threshold in random directions (the hardest that may link, so
+it holds where links are rare too) and for the true neighbours of up to QUERIES vectors among all rows. Codebooks
+are made coarser until MAX_VISITS cells are enough; if none is, the length is one cell, compared in full.
 What meets in a cell is compared exactly, so no pair under the threshold links; a pair that both sides'
 visits find counts where the lesser of its home cells is. Cells with more than CELL vectors, or visitors, are dealt in
 chunks, chunk against chunk. Tasks return link counts and spanning forests, not pairs.
 
 Rows: vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of
-different lengths never link; repeated rows link with each other; a null vec_id is a vector like others, its
-component is its group's least id; other columns are ignored; an empty table gives an empty result.
+different lengths never link; rows with one vec_id are vectors of their own, and so are those without any: they link
+and bridge like others, and a group's component is its least id (null if it has none); other columns are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,11 +25,16 @@ from pyspark.sql import functions as F
 from sievework.operators.components import connected_components
 from sievework.runtime import cut
 
-SAMPLE = 20_000
-MAX_CODES = 256
-MIN_CELLS = 8
+SAMPLE = 20_000  # vectors of one length that its codebooks are fitted on,
+SAMPLE_BYTES = 64 << 20  # and their bytes, of all lengths together
+QUERIES = 512  # vectors whose neighbours are sought among all rows, to set the cells to visit
+PER_BATCH = 8  # neighbours of a query that count in a batch of rows
+MAX_LENGTHS = 32  # lengths with codebooks, the most frequent ones; others are one cell each
+MAX_CODES = 1_024
+MIN_CELLS, MAX_VISITS = 8, 128
 CELL = 4_096
 BLOCK = 1_024
+MAX_SIZES = 1_000_000  # cells; more are joined instead of broadcast
 
 
 def _unit(raw: bytes, dim: int):
@@ -43,18 +52,25 @@ def clean_vectors(vectors: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            dims, out = [], []
-            for x in batch.column(1).to_pylist():
-                v = np.array(x, np.float64) if x and None not in x else np.zeros(0)
-                big = np.abs(v).max(initial=0.0)
-                if not np.isfinite(v).all() or big == 0:
-                    dims.append(0)
-                    out.append(None)
-                    continue
-                v = v / big
-                dims.append(len(v))
-                out.append((v / np.sqrt(v @ v)).astype("<f8").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(dims, pa.int32()), pa.array(out, pa.binary())], names=["vec_id", "dim", "v"])
+            lists = batch.column(1)
+            n = len(lists)
+            if pa.types.is_fixed_size_list(lists.type):
+                lists = lists.cast(pa.list_(lists.type.value_type))
+            at, values = lists.offsets.to_numpy(), lists.values
+            x = values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # nulls become NaN
+            size = np.where(np.asarray(lists.is_valid()), np.diff(at), 0)
+            out = np.full(n, None, object)
+            dims = np.zeros(n, np.int32)
+            for dim in np.unique(size[size > 0]).tolist():
+                rows = np.flatnonzero(size == dim)
+                v = x[at[rows][:, None] + np.arange(dim)]
+                big = np.abs(v).max(1)
+                sound = np.isfinite(big) & (big > 0)
+                rows, v = rows[sound], v[sound] / big[sound][:, None]
+                v = (v / np.sqrt((v * v).sum(1))[:, None]).astype("<f8")
+                dims[rows] = dim
+                out[rows] = [r.tobytes() for r in v]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(dims), pa.array(out, pa.binary())], names=["vec_id", "dim", "v"])
 
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, dim int, v binary")
 
@@ -100,48 +116,99 @@ def fit_codes(sample, codes: int, rounds: int = 8, seed: int = 11):
     return out
 
 
-def cells_needed(sample, codes, threshold: float, target_recall: float, queries: int = 4_000) -> int:
-    """How many cells to visit so that target_recall of the sample's linked pairs meet, from either side."""
+def visit_ranks(x, y, codes, most: int):
+    """For pairs of rows of x and y: at which visit one of the two first comes to the other's home; most if at none."""
+    import numpy as np
+
+    ranks = np.full(len(x), most)
+    cells = [nearest_cells(*half_distances(v, codes), most) for v in (x, y)]
+    for a, b in (cells, cells[::-1]):
+        hit = a == b[:, :1]
+        ranks = np.minimum(ranks, np.where(hit.any(1), hit.argmax(1), most))
+    return ranks
+
+
+def planted_cells(sample, codes, threshold: float, target_recall: float, seed: int = 5) -> int:
+    """Cells to visit so that target_recall of partners at the threshold, in random directions, meet from either side."""
     import numpy as np
 
-    d1, d2 = half_distances(sample, codes)
-    h1, h2 = d1.argmin(1), d2.argmin(1)
-    ranks = []
-    for a in range(0, min(queries, len(sample)), 500):
-        x, y = np.nonzero(sample[a : min(a + 500, queries)] @ sample.T >= threshold)
-        x = x + a
-        keep = x < y
-        x, y = x[keep][:200_000], y[keep][:200_000]
-        for at in range(0, len(x), 5_000):
-            p, q = x[at : at + 5_000], y[at : at + 5_000]
-            both = []
-            for u, w in ((p, q), (q, p)):
-                limit = d1[u, h1[w]] + d2[u, h2[w]]
-                both.append(sum(((d1[u, k : k + 1] + d2[u]) < limit[:, None] - 1e-12).sum(1) for k in range(d1.shape[1])))
-            ranks.append(np.minimum(*both))
-    ranks = np.concatenate(ranks) if ranks else np.zeros(1, int)
-    return int(np.quantile(ranks, target_recall)) + 1
+    rng = np.random.default_rng(seed)
+    x = sample[rng.permutation(len(sample))[:2_000]]
+    u = rng.normal(size=x.shape)
+    u -= (u * x).sum(1)[:, None] * x
+    y = threshold * x + (1 - threshold**2) ** 0.5 * u / np.sqrt((u * u).sum(1))[:, None]
+    return int(np.ceil(np.quantile(visit_ranks(x, y, codes, MAX_VISITS), target_recall))) + 1
+
+
+def neighbour_ranks(classes: DataFrame, index: dict, queries: dict, threshold: float) -> dict[int, dict]:
+    """dim -> query -> list of (rank, pairs): at which visit true neighbours of the queries among all rows are met."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for batch in batches:
+            dims = batch.column("dim").to_numpy()
+            found = []
+            for dim in np.unique(dims).tolist():
+                if dim not in queries:
+                    continue
+                v = _unit(b"".join(batch.column("v").filter(pa.array(dims == dim)).to_pylist()), dim)
+                q = queries[dim]
+                near = (q @ v.T >= threshold) & ~(q @ v.T >= 1 - 1e-12)
+                a, b = np.nonzero(near & (np.cumsum(near, 1) <= PER_BATCH))
+                if len(a):
+                    found += zip([dim] * len(a), a.tolist(), visit_ranks(q[a], v[b], index[dim][0], MAX_VISITS).tolist())
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32()) for c in zip(*found)], names=["dim", "query", "rank"])
+
+    rows = classes.select("dim", "v").mapInArrow(run, "dim int, query int, rank int").groupBy("dim", "query", "rank").agg(F.count(F.lit(1)).alias("n")).collect()
+    out: dict[int, dict] = {}
+    for r in rows:
+        out.setdefault(r["dim"], {}).setdefault(r["query"], []).append((r["rank"], r["n"]))
+    return out
+
+
+def recall_at(ranks: dict, cells: int) -> float:
+    """Mean over queries of the share of their neighbours that so many visits meet; 1 without any."""
+    shares = [sum(n for r, n in q if r < cells) / sum(n for _, n in q) for q in ranks.values()]
+    return sum(shares) / len(shares) if shares else 1.0
 
 
 def build_index(classes: DataFrame, threshold: float, target_recall: float) -> dict[int, tuple]:
-    """dim -> (codebooks, cells to visit), from at most 2 * SAMPLE vectors chosen by a hash of the vector."""
+    """dim -> (codebooks, cells to visit, recall of the queries' true neighbours), from bounded samples by a hash of the vector."""
     import numpy as np
 
-    n = classes.count()
-    every = max(1, -(-n // SAMPLE))
-    rows = classes.where(F.pmod(F.xxhash64("v"), F.lit(every)) == 0).select("dim", "v").limit(2 * SAMPLE).collect()
-    index = {}
-    for dim in sorted({r[0] for r in rows}):
-        sample = _unit(b"".join(sorted(r[1] for r in rows if r[0] == dim)), dim)
-        if len(sample) < 256 or dim < 4:
-            continue  # one cell, compared in full
-        codes = fit_codes(sample, int(np.clip(round((n / 64) ** 0.5), 4, min(MAX_CODES, len(sample) // 8))))
-        index[dim] = (codes, max(MIN_CELLS, cells_needed(sample, codes, threshold, target_recall)))
+    counts = [(r["dim"], r["n"]) for r in classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").limit(MAX_LENGTHS).collect()]
+    index, queries = {}, {}
+    for dim, n in counts:
+        most = min(SAMPLE, SAMPLE_BYTES // (8 * dim * len(counts)))
+        every = max(1, n // max(1, most))
+        rows = classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("v"), F.lit(every)) == 0)).select("v").limit(2 * most).collect() if n >= 256 and dim >= 4 else []
+        sample = _unit(b"".join(sorted(r[0] for r in rows)), dim) if len(rows) >= 256 else []
+        codes = int(np.clip(round((n / 256) ** 0.5), 4, min(MAX_CODES, max(4, len(sample) // 16))))
+        while len(sample) and codes >= 4:
+            books = fit_codes(sample[::2], codes)
+            cells = planted_cells(sample[1::2], books, threshold, target_recall)
+            if cells <= MAX_VISITS:
+                index[dim], queries[dim] = (books, max(MIN_CELLS, cells)), sample[:: max(1, len(sample) // QUERIES)][:QUERIES]
+                break
+            codes //= 2
+    ranks = neighbour_ranks(classes, index, queries, threshold) if index else {}
+    for dim, (books, cells) in list(index.items()):
+        seen = ranks.get(dim, {})
+        while cells < MAX_VISITS and recall_at(seen, cells) < target_recall:
+            cells += 1
+        recall = recall_at(seen, cells)
+        if recall < target_recall:
+            del index[dim]  # one cell, compared in full
+        else:
+            index[dim] = (books, cells, recall)
     return index
 
 
 def embedding_links(classes: DataFrame, *, threshold: float, target_recall: float) -> tuple[DataFrame, DataFrame]:
-    """From (rep, n, dim, v): (rep, links) to other vectors, and (src, dst) edges between reps."""
+    """From (rep, n, dim, v), rep being a class's key: (rep, links) to other vectors, and (src, dst) edges between reps."""
     index = build_index(classes, threshold, target_recall)
 
     def visit(batches):
@@ -154,7 +221,7 @@ def embedding_links(classes: DataFrame, *, threshold: float, target_recall: floa
                 rows = batch.filter(pa.array(dims == dim))
                 m = rows.num_rows
                 if dim in index:
-                    codes, cells = index[dim]
+                    codes, cells, _ = index[dim]
                     v = _unit(b"".join(rows.column("v").to_pylist()), dim)
                     found = np.concatenate([nearest_cells(*half_distances(v[a : a + BLOCK], codes), cells) for a in range(0, m, BLOCK)]).astype(np.int32)
                 else:
@@ -168,9 +235,8 @@ def embedding_links(classes: DataFrame, *, threshold: float, target_recall: floa
     visits = homes.select("rep", "n", "dim", "v", "cells", F.posexplode("cells").alias("nth", "cell"))
     visits = visits.withColumn("home", F.col("nth") == 0)
     count = lambda is_home: F.sum(F.when(F.col("home") == is_home, 1).otherwise(0))
-    # one row per cell and length: MAX_CODES squared at most for each length with codebooks
     sizes = cut(visits.groupBy("dim", "cell").agg(F.ceil(count(True) / CELL).cast("int").alias("hc"), F.greatest(F.lit(1), F.ceil(count(False) / (4 * CELL))).cast("int").alias("vc")).where("hc > 0"))
-    sized = visits.join(F.broadcast(sizes), ["dim", "cell"])
+    sized = visits.join(F.broadcast(sizes) if sizes.count() <= MAX_SIZES else sizes, ["dim", "cell"])
     mine = F.pmod(F.xxhash64("rep"), F.col("hc")).cast("int")
     group = F.pmod(F.xxhash64("rep", F.lit(5)), F.col("vc")).cast("int")
     place = F.when(
@@ -235,13 +301,17 @@ def embedding_links(classes: DataFrame, *, threshold: float, target_recall: floa
     return counts, found.where("other is not null").select(F.col("rep").alias("src"), F.col("other").alias("dst"))
 
 
-def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, target_recall: float = 0.999) -> DataFrame:
+def near_duplicates(vectors: DataFrame, *, threshold: float = 0.9, target_recall: float = 0.995) -> DataFrame:
     """(vec_id, n_links, component_id, kept) for every row."""
     rows = cut(clean_vectors(vectors))
-    classes = cut(rows.where("v is not null").groupBy("dim", "v").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("n")).where("rep is not null"))
+    classes = rows.where("v is not null").groupBy("dim", "v").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("n"))
+    classes = cut(classes.withColumn("rep", F.monotonically_increasing_id()))
     counts, edges = embedding_links(classes, threshold=threshold, target_recall=target_recall)
     parts = connected_components(edges)
-    named = classes.select("v", "rep", "n").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left")
-    named = named.select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("class_links"), F.coalesce("component", "rep").alias("class_component"))
-    out = rows.join(named, "v", "left").select("vec_id", F.coalesce("class_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("class_component", "vec_id").alias("component_id"))
+    named = cut(classes.select("v", "rep", "n", "least").join(counts, "rep", "left").join(parts, F.col("rep") == F.col("node"), "left").select("v", "n", "links", F.coalesce("component", "rep").alias("part"), "least"))
+    ids = named.groupBy("part").agg(F.min("least").alias("component_id"))
+    named = named.join(ids, "part").select("v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
+    linked = rows.where("v is not null").join(named, "v").select("vec_id", F.col("n_links").cast("long").alias("n_links"), "component_id")
+    alone = rows.where("v is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
+    out = linked.unionByName(alone)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
