@@ -1,21 +1,33 @@
-"""Near copies on word shingles: an exact Jaccard self-join over prefixes of rare shingles.
-
-A document's set holds the hashes of its five-word shingles. Two sets of sizes m and n with Jaccard 0.8 or more
-share an item among the first n - ceil(0.8 n) + 1 of each, in whatever order all sets stand. The order is by
-document count, rare first, read from a table of hashed counts of fixed size (of each part of the input its
-frequent slots only: what is left out changes the order, not the result), then by hash. Only those prefixes are joined; sizes and places in the order rule out pairs that
-cannot reach the similarity, and all others are verified on the whole sets, so no pair is missed. Equal sets
-are one class while joining. Items that many documents have are dealt in chunks, chunk against chunk.
-
-Rows: null and blank texts have the empty set and are one class; texts under five words are one shingle; rows
-of one doc_id are one node; rows without a doc_id are left out; an empty table gives an empty result.
+"""Near copies on word shingles: SimHash links and an exact Jaccard self-join over prefixes of rare shingles.
+
+A document's set holds the hashes of its five-word shingles; equal sets are one class. Candidates come in three
+ways, and each is verified on the whole sets (Jaccard 0.8 or more):
+
+* fingerprints of the shingles that the trie self-join of simhash links (3 bits of 64);
+* prefixes: two sets of sizes m and n with that Jaccard share an item among the first n - ceil(0.8 n) + 1 of each, in
+  whatever order all sets stand. The order is by document count, rare first, read from a table of hashed counts of
+  fixed size (what it leaves out changes the order, not the result), then by hash. Of up to SMALL sets that
+  share an item all pairs are candidates; of more, each with the least only (a star), so that a group of
+  thousands of copies gives as many pairs as it has members;
+* where the sets of such an item then stand in several components, those outside the item's largest one
+  with the rest.
+
+Two sets with the Jaccard are thus compared, or joined through others already: no link between components is
+missed. Sizes and places in the order rule out candidates that cannot reach the similarity. Items that many
+documents have are dealt in chunks, each with a star of its own.
+
+Rows: null and blank texts have the empty set and are one class; texts under five words are one shingle; documents
+without a doc_id and different texts of one doc_id are documents like others; other columns are kept; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from sievework.llm import simhash
 from sievework.operators.components import connected_components
 from sievework.runtime import cut
 
@@ -23,11 +35,12 @@ SHINGLE = 5
 NUM, DEN = 4, 5  # the least Jaccard, as a fraction: all comparisons are of whole numbers
 SLOTS = 1 << 20
 CHUNK = 1_000
-MAX_NODES = 500_000  # more ids of candidates than this are not broadcast
+SMALL = 6
+MAX_NODES = 500_000  # more candidates than this are not broadcast
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE):
-    """Sorted distinct 64-bit hashes of the lower-cased word shingles."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE):
+    """64-bit hashes of the lower-cased word shingles, in order, with repeats."""
     import numpy as np
     import xxhash
 
@@ -42,7 +55,14 @@ def shingle_set(text: str | None, shingle: int = SHINGLE):
     for i in range(shingle):
         out = out * np.uint64(0x9E3779B97F4A7C15) + (h[i : i + len(out)] ^ (h[i : i + len(out)] >> np.uint64(29)))
         out ^= out >> np.uint64(32)
-    return np.unique(out)
+    return out
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE):
+    """Sorted distinct hashes of the shingles."""
+    import numpy as np
+
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def slot_counts(docs: DataFrame):
@@ -69,7 +89,7 @@ def slot_counts(docs: DataFrame):
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(doc_id, h1, h2, n, items, chunks): the set's 128-bit hash and size, its prefix, and into how many chunks each item is dealt (null: one)."""
+    """(id, h, h1, h2, n, fp, items, chunks) from (id, h, text): the set's 128-bit hash and size, its fingerprint, its prefix, and into how many chunks each item is dealt (null: one)."""
     import numpy as np
 
     shared, slots, chunk = docs.sparkSession.sparkContext.broadcast(slot_counts(docs)), SLOTS, CHUNK
@@ -80,25 +100,28 @@ def prefixes(docs: DataFrame) -> DataFrame:
 
         table = shared.value
         for batch in batches:
-            hs, ns, items, chunks = [], [], [], []
-            for t in batch.column(1).to_pylist():
-                s = shingle_set(t)
+            hs, ns, fps, items, chunks = [], [], [], [], []
+            for t in batch.column(2).to_pylist():
+                each = shingle_hashes(t)
+                s = np.unique(each)
                 n = len(s)
                 df = table[(s % np.uint64(slots)).astype(np.int64)]
                 first = np.lexsort((s, df))[: n - -(-NUM * n // DEN) + 1]
                 d = df[first]
                 hs.append(xxhash.xxh3_128_digest(s.tobytes()))
                 ns.append(n)
+                fps.append(simhash.majority(each) if n else 0)
                 items.append(s[first].view(np.int64))
                 chunks.append((1 + d // chunk).astype(np.int32) if d.max(initial=0) >= chunk else None)
             h = np.frombuffer(b"".join(hs), "<i8").reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ns, pa.int32()), pa.array(items, pa.list_(pa.int64())), pa.array(chunks, pa.list_(pa.int32()))], names=["doc_id", "h1", "h2", "n", "items", "chunks"])
+            columns = [batch.column(0), batch.column(1), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ns, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(items, pa.list_(pa.int64())), pa.array(chunks, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "h1", "h2", "n", "fp", "items", "chunks"])
 
-    return docs.mapInArrow(run, "doc_id long, h1 long, h2 long, n int, items array<long>, chunks array<int>")
+    return docs.select("id", "h", "text").mapInArrow(run, "id long, h long, h1 long, h2 long, n int, fp long, items array<long>, chunks array<int>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """(doc_id, items): the whole sets."""
+    """(rep, items) from (rep, text): the whole sets."""
 
     def run(batches):
         import numpy as np
@@ -106,56 +129,98 @@ def sets_of(docs: DataFrame) -> DataFrame:
 
         for batch in batches:
             sets = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "items"])
-
-    return docs.mapInArrow(run, "doc_id long, items array<long>")
-
-
-def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b), a < b: pairs that share a prefix item and whose sizes and places allow the similarity."""
-    each = reps.select("doc_id", "n", "chunks", F.posexplode("items").alias("i", "item"))
-    dealt = each.withColumn("of", F.coalesce(F.get("chunks", F.col("i")), F.lit(1))).withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("of")).cast("int"))
-    units = dealt.select("item", "doc_id", "n", "i", "own", F.explode(F.sequence(F.lit(0), F.col("of") - 1)).alias("other"))
-    packed = lambda high, low: F.shiftleft(F.col(high).cast("long"), 32).bitwiseOR(F.col(low).cast("long"))
-    unit = units.select(
-        "item", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"), "doc_id", packed("n", "i").alias("place")
-    ).select("item", packed("low", "high").alias("deal"), "side", "doc_id", "place")
-    rows = unit.repartition("item", "deal")  # both sides of the join read this one shuffle
-    x, y = rows.alias("x"), rows.alias("y")
-    near = (F.col("x.doc_id") < F.col("y.doc_id")) & ((F.shiftrightunsigned("x.deal", 32) == F.col("x.deal").bitwiseAND(F.lit((1 << 32) - 1))) | (F.col("x.side") != F.col("y.side")))
-    n = lambda t: F.shiftright(f"{t}.place", 32)
-    i = lambda t: F.col(f"{t}.place").bitwiseAND(F.lit((1 << 32) - 1)) + 1
-    most = F.least(i("x"), i("y")) + F.least(n("x") - i("x"), n("y") - i("y"))
-    able = (DEN * n("x") >= NUM * n("y")) & (DEN * n("y") >= NUM * n("x")) & ((NUM + DEN) * most >= NUM * (n("x") + n("y")))
-    found = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.deal") == F.col("y.deal")) & near & able)
-    return found.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-
-
-def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b): pairs of reps whose sets have the similarity."""
-    pairs = cut(candidates(reps))
-    nodes = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct())
-    nodes = F.broadcast(nodes) if nodes.count() <= MAX_NODES else nodes
-    sets = cut(sets_of(docs.join(nodes, "doc_id", "left_semi").select("doc_id", "text")))
-    both = pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("doc_id").alias("b"), F.col("items").alias("y")), "b")
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "items"])
+
+    return docs.select("rep", "text").mapInArrow(run, "rep long, items array<long>")
+
+
+def shared_items(reps: DataFrame) -> DataFrame:
+    """(item, own, of, c, rep, place, head): prefix items that a chunk of sets shares; place packs the set's size and the item's place in it."""
+    each = reps.select("rep", "n", "chunks", F.posexplode("items").alias("i", "item"))
+    rows = each.select("item", F.coalesce(F.get("chunks", F.col("i")), F.lit(1)).alias("of"), "rep", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("i").cast("long")).alias("place"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("rep"), F.col("of")).cast("int"))
+    chunk = Window.partitionBy("item", "own")
+    return rows.withColumn("c", F.count(F.lit(1)).over(chunk)).withColumn("head", F.min(F.struct("rep", "place")).over(chunk)).where("c > 1 or of > 1")
+
+
+def _able(x, y):
+    """Whether sets of these sizes, with a common item first at these places, can have the similarity."""
+    n = lambda p: F.shiftright(p, 32)
+    i = lambda p: p.bitwiseAND(F.lit((1 << 32) - 1)) + 1
+    most = F.least(i(x), i(y)) + F.least(n(x) - i(x), n(y) - i(y))
+    return (DEN * n(x) >= NUM * n(y)) & (DEN * n(y) >= NUM * n(x)) & ((NUM + DEN) * most >= NUM * (n(x) + n(y)))
+
+
+def _pair(a, b):
+    return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
+
+
+def first_candidates(shared: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of a few sets that share an item, stars of more. All are pairs within a chunk, or of two chunks' heads."""
+    few = shared.where((F.col("c") <= SMALL) & (F.col("c") > 1)).select("item", "own", "rep", "place")
+    x, y = few.alias("x"), few.alias("y")
+    pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.own") == F.col("y.own")) & (F.col("x.rep") < F.col("y.rep")) & _able(F.col("x.place"), F.col("y.place")))
+    out = pairs.select(*_pair(F.col("x.rep"), F.col("y.rep")))
+    star = shared.where((F.col("c") > SMALL) & (F.col("rep") != F.col("head.rep")) & _able(F.col("place"), F.col("head.place")))
+    out = out.unionByName(star.select(*_pair(F.col("head.rep"), F.col("rep"))))
+    heads = shared.where("of > 1").groupBy("item", "own").agg(F.min("head").alias("head"))
+    least = heads.groupBy("item").agg(F.min("head").alias("least"))
+    across = heads.join(least, "item").where((F.col("head.rep") != F.col("least.rep")) & _able(F.col("head.place"), F.col("least.place")))
+    return out.unionByName(across.select(*_pair(F.col("head.rep"), F.col("least.rep")))).distinct()
+
+
+def cross_candidates(shared: DataFrame, parts: DataFrame) -> DataFrame:
+    """(a, b), a < b: of items that only stars have covered, the pairs of sets in different components."""
+    many = shared.where((F.col("c") > SMALL) | (F.col("of") > 1)).select("item", "rep", "place")
+    many = many.join(parts, F.col("rep") == F.col("node"), "left").select("item", "rep", "place", F.coalesce("component", "rep").alias("part"))
+    sizes = many.groupBy("item", "part").agg(F.count(F.lit(1)).alias("n"))
+    major = sizes.groupBy("item").agg(F.max_by("part", F.struct("n", "part")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("item", "major")
+    mixed = cut(many.join(major, "item"))
+    x, y = mixed.where("part <> major").alias("x"), mixed.alias("y")
+    once = (F.col("y.part") == F.col("y.major")) | (F.col("x.rep") < F.col("y.rep"))
+    pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.part") != F.col("y.part")) & once & _able(F.col("x.place"), F.col("y.place")))
+    return pairs.select(*_pair(F.col("x.rep"), F.col("y.rep"))).distinct()
+
+
+def print_candidates(classes: DataFrame) -> DataFrame:
+    """(a, b), a < b: classes of one fingerprint, each with the least, and of fingerprints that the trie links."""
+    least = cut(classes.groupBy("fp").agg(F.min("rep").alias("rep")))
+    same = classes.select("fp", F.col("rep").alias("r")).join(least, "fp").where(F.col("r") != F.col("rep")).select(*_pair(F.col("rep"), F.col("r")))
+    links = simhash.trie_links(least.select("fp"))
+    near = links.join(least.select(F.col("fp").alias("src"), F.col("rep").alias("x")), "src").join(least.select(F.col("fp").alias("dst"), F.col("rep").alias("y")), "dst")
+    return same.unionByName(near.select(*_pair(F.col("x"), F.col("y"))))
+
+
+def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b): pairs of classes whose sets have the similarity. docs has (id, h, text), of which a class has its first."""
+    pairs = cut(pairs)
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    nodes = cut(nodes.join(classes.select("rep", F.col("first.id").alias("of_id"), F.col("first.h").alias("of_h")), "rep"))
+    few = F.broadcast(nodes) if nodes.count() <= MAX_NODES else nodes
+    texts = docs.join(few, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h"))).select("rep", "text")
+    sets = cut(sets_of(texts)).dropDuplicates(["rep"])
+    both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
     c = F.size(F.array_intersect("x", "y"))
     return both.where(DEN * c >= NUM * (F.size("x") + F.size("y") - c)).select("a", "b")
 
 
 def group_heads(docs: DataFrame) -> DataFrame:
-    """(head): the least doc_id of each group of near copies."""
-    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null")
-    sketches = cut(prefixes(known))
-    classes = cut(sketches.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep")))
-    same = F.col("doc_id") == F.col("rep")
-    reps = sketches.join(classes.withColumnsRenamed({"h1": "k1", "h2": "k2"}), same & (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")), "left_semi")
-    parts = connected_components(links(known, reps), "a", "b")
-    named = classes.join(parts, F.col("rep") == F.col("node"), "left")
-    return named.where(F.coalesce("component", "rep") == F.col("rep")).select(F.col("rep").alias("head")).distinct()
+    """(id, h): of each group of near copies in (id, h, text) the first, by id (nulls last) and hash of the text."""
+    sketches = cut(prefixes(docs))
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "h")
+    classes = cut(sketches.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("first"), "n", "fp", "items", "chunks")).alias("s")).select("s.*").withColumn("rep", F.monotonically_increasing_id()))
+    shared = cut(shared_items(classes))
+    edges = cut(verified(docs, classes, first_candidates(shared).unionByName(print_candidates(classes.select("rep", "fp"))).distinct()))
+    parts = connected_components(edges, "a", "b")
+    more = verified(docs, classes, cross_candidates(shared, parts))
+    parts = connected_components(edges.unionByName(more), "a", "b")
+    named = classes.select("rep", "first").join(parts, F.col("rep") == F.col("node"), "left")
+    return named.groupBy(F.coalesce("component", "rep").alias("part")).agg(F.min("first").alias("f")).select("f.id", "f.h")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: the one with the least doc_id (of equal ids one row)."""
-    packed = docs.select(F.col("doc_id").alias("head"), F.struct("*").alias("d"))
-    kept = packed.join(group_heads(docs).hint("shuffle_hash"), "head", "left_semi")
-    return kept.dropDuplicates(["head"]).select("d.*")
+    """One document of each group: that with the least doc_id, then the least hash of its text; ids that are null come last."""
+    marked = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text", F.struct("*").alias("d"))
+    heads = group_heads(marked.select("id", "h", "text")).select(F.col("id").alias("of_id"), F.col("h").alias("of_h"))
+    kept = marked.join(heads.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h")), "left_semi")
+    return kept.dropDuplicates(["id", "h"]).select("d.*")

@@ -12,20 +12,24 @@ def words_of(text, k=5):
 
 
 def brute_heads(rows):
-    sets = [(d, words_of(t)) for d, t in rows if d is not None]
-    label = {d: d for d, _ in sets}
+    """The first document of each group, by id, nulls last."""
+    sets = [words_of(t) for _, t in rows]
+    label = list(range(len(rows)))
 
     def root(x):
         while label[x] != x:
             x = label[x]
         return x
 
-    for i, (d, x) in enumerate(sets):
-        for e, y in sets[:i]:
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets[:i]):
             if x == y or 5 * len(x & y) >= 4 * len(x | y):
-                a, b = sorted((root(d), root(e)))
-                label[b] = a
-    return sorted({root(d) for d in label})
+                label[root(i)] = root(j)
+    place = lambda d: (d is None, d or 0)
+    heads = {}
+    for i, (d, _) in enumerate(rows):
+        heads[root(i)] = min(heads.get(root(i), (True, 1 << 60)), place(d))
+    return sorted(heads.values())
 
 
 def corpus():
@@ -41,20 +45,36 @@ def corpus():
                 w[rng.randrange(len(w))] = rng.choice(vocab)
             rows.append((len(rows) * 2 + 5, rng.choice([" ", "\n", " \t"]).join(w)))
     rng.shuffle(rows)
-    return rows + [(3, None), (9001, ""), (9002, "One"), (9003, "one two"), (9004, "ONE TWO"), rows[0], (None, "no id"), (9005, "z " * 40_000)]
+    return rows + [(3, None), (9001, ""), (9002, "One"), (9003, "one two"), (9004, "ONE TWO"), rows[0], (None, "no id"), (None, "no id either"), (7001, "one id two texts"), (7001, "and another text"), (9005, "z " * 40_000)]
 
 
-@pytest.mark.parametrize("chunk", [1_000, 1])
-def test_heads_against_brute_force(spark, monkeypatch, chunk):
+@pytest.mark.parametrize("chunk,small", [(1_000, 6), (1, 1), (1_000, 1), (3, 2)])
+def test_heads_against_brute_force(spark, monkeypatch, chunk, small):
     monkeypatch.setattr(near_copies, "CHUNK", chunk)
+    monkeypatch.setattr(near_copies, "SMALL", small)
     rows = corpus()
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, source string")
     kept = near_copies.keep_one(docs)
     assert kept.columns == docs.columns
-    assert sorted(r.doc_id for r in kept.collect()) == brute_heads(rows)
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in kept.collect()) == brute_heads(rows)
     assert near_copies.keep_one(docs.limit(0)).count() == 0
 
 
+def test_a_large_group_gives_a_star_and_not_all_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    base = [f"b{i}" for i in range(200)]
+    rows = []
+    for i in range(300):
+        w = list(base)
+        w[rng.randrange(10, 190)] = f"e{i}"
+        rows.append((i, " ".join(w)))
+    made = []
+    whole = near_copies.verified
+    monkeypatch.setattr(near_copies, "verified", lambda docs, classes, pairs: made.append(pairs.distinct().count()) or whole(docs, classes, pairs))
+    kept = near_copies.keep_one(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert [r.doc_id for r in kept.collect()] == [0] and sum(made) < 300 * 40
+
+
 def test_stage_finds_edited_copies_and_spares_others(spark):
     rng = random.Random(3)
     rows = []

@@ -6,8 +6,8 @@ from collections import defaultdict
 import pytest
 
 import corpus_pipeline
-from sievework.llm import encoding, simhash
-from tests.llm import test_mix_lines, test_quality, test_simhash
+from sievework.llm import encoding
+from tests.llm import test_mix_lines, test_near_copies, test_quality
 from tests.llm.test_tokens import direct
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -31,15 +31,11 @@ def test_stages_against_brute_force(spark, tmp_path):
     kept = {r.doc_id for r in good}
     assert kept <= passes and all(i in kept for i in passes if labels.get(i) == 1)
 
-    want = {w[0]: w[3] for w in test_mix_lines.brute([(r.doc_id, r.text, None) for r in good], 10, False)}
+    want = {w[0]: w[3] for w in test_mix_lines.brute([(r.doc_id, r.text, None) for r in good], 10, True)}
     assert {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in lines} == want
     assert all(r.n_chars == len(r.text) for r in lines)
 
-    fps, ids = {r.doc_id: simhash.fingerprint(r.text) for r in lines}, {}
-    for d, f in fps.items():
-        ids[f] = min(ids.get(f, 1 << 62), d)
-    parts = test_simhash.brute_components(set(fps.values()), ids)
-    assert sorted(r.doc_id for r in unique) == sorted(set(parts.values()))
+    assert sorted(r.doc_id for r in unique) == [d for _, d in test_near_copies.brute_heads([(r.doc_id, r.text) for r in lines])]
 
     size, taken = defaultdict(int), defaultdict(int)
     for r in unique:
@@ -61,3 +57,18 @@ def test_stages_against_brute_force(spark, tmp_path):
             assert o == at
             at += n
         assert at <= 1024
+
+
+def test_stages_keep_odd_rows_and_clashing_columns(spark):
+    text = " ".join(f"word{i} the of and" for i in range(40))
+    rows = [(None, text, "en", "a", 1, "x", 5), (None, text + " more and other words here", None, None, 2, "y", 6), (4, text, "en", "a", 1, "z", 7), (4, None, "en", "a", None, "z", 8), (5, "", "", "", 0, None, None), (4, text, "en", "a", 1, "z", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long, kept string, n_lines long")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, "unused")
+        assert out.columns == docs.columns, name
+        out.collect()
+        assert stage(spark, docs.limit(0), "unused").count() == 0
+    assert len(corpus_pipeline.line_dedup_stage(spark, docs, "unused").collect()) == 6
+    left = corpus_pipeline.simhash_stage(spark, docs, "unused").collect()
+    assert {(r.doc_id, bool(r.text)) for r in left} == {(4, True), (4, False)} and {r.n_lines for r in left} <= {6, 7, 8, 5, None}
+    assert corpus_pipeline.packing_stage(spark, docs.limit(0), "unused").count() == 0
