@@ -17,7 +17,6 @@ brute-force version.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from sievework.llm import encoding, line_dedup, mixing, near_copies, packing, quality
 from sievework.runtime import new_folder, spread, table
@@ -28,8 +27,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    new = {"text": F.col("kept_text"), "n_chars": F.length("kept_text").cast("long")}
-    return line_dedup.drop_lines(docs, keep_first=True).select(*[new.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return line_dedup.without_shared_lines(docs, keep_first=True)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
