@@ -1,7 +1,8 @@
 """Near copies on word shingles: SimHash links and an exact Jaccard self-join over prefixes of rare shingles.
 
 A document's set holds the hashes of its five-word shingles; equal sets are one class. Candidates come in three
-ways, and each is verified on the whole sets (Jaccard 0.8 or more):
+ways; most are ruled out by parity bits (BITS hashed bits of a set, each flipped by every item there: sets differ in at
+least as many items as in bits), and the rest is verified on the whole sets (Jaccard 0.8 or more):
 
 * fingerprints of the shingles that the trie self-join of simhash links (3 bits of 64);
 * prefixes: two sets of sizes m and n with that Jaccard share an item among the first n - ceil(0.8 n) + 1 of each, in
@@ -36,6 +37,7 @@ NUM, DEN = 4, 5  # the least Jaccard, as a fraction: all comparisons are of whol
 SLOTS = 1 << 20
 CHUNK = 1_000
 SMALL = 6
+BITS = 1024
 MAX_NODES = 500_000  # more candidates than this are not broadcast
 
 
@@ -76,7 +78,7 @@ def slot_counts(docs: DataFrame):
 
         counts = np.zeros(slots, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
+            for t in simhash.texts(batch.column(0)):
                 at, n = np.unique((shingle_set(t) % np.uint64(slots)).astype(np.int64), return_counts=True)
                 counts[at] += n
         at = np.flatnonzero(counts > max(2, 4 * counts.mean()))
@@ -89,7 +91,7 @@ def slot_counts(docs: DataFrame):
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """(id, h, h1, h2, n, fp, items, chunks) from (id, h, text): the set's 128-bit hash and size, its fingerprint, its prefix, and into how many chunks each item is dealt (null: one)."""
+    """(id, h, h1, h2, n, fp, bits, items, chunks) from (id, h, text): the set's 128-bit hash and size, its fingerprint and parity bits, its prefix, and into how many chunks each item is dealt (null: one)."""
     import numpy as np
 
     shared, slots, chunk = docs.sparkSession.sparkContext.broadcast(slot_counts(docs)), SLOTS, CHUNK
@@ -100,8 +102,8 @@ def prefixes(docs: DataFrame) -> DataFrame:
 
         table = shared.value
         for batch in batches:
-            hs, ns, fps, items, chunks = [], [], [], [], []
-            for t in batch.column(2).to_pylist():
+            hs, ns, fps, bits, items, chunks = [], [], [], [], [], []
+            for t in simhash.texts(batch.column(2)):
                 each = shingle_hashes(t)
                 s = np.unique(each)
                 n = len(s)
@@ -111,13 +113,15 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 hs.append(xxhash.xxh3_128_digest(s.tobytes()))
                 ns.append(n)
                 fps.append(simhash.majority(each) if n else 0)
+                odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+                bits.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
                 items.append(s[first].view(np.int64))
                 chunks.append((1 + d // chunk).astype(np.int32) if d.max(initial=0) >= chunk else None)
             h = np.frombuffer(b"".join(hs), "<i8").reshape(-1, 2)
-            columns = [batch.column(0), batch.column(1), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ns, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(items, pa.list_(pa.int64())), pa.array(chunks, pa.list_(pa.int32()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "h1", "h2", "n", "fp", "items", "chunks"])
+            columns = [batch.column(0), batch.column(1), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(ns, pa.int32()), pa.array(np.array(fps, np.uint64).view(np.int64)), pa.array(bits, pa.list_(pa.int64())), pa.array(items, pa.list_(pa.int64())), pa.array(chunks, pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "h", "h1", "h2", "n", "fp", "bits", "items", "chunks"])
 
-    return docs.select("id", "h", "text").mapInArrow(run, "id long, h long, h1 long, h2 long, n int, fp long, items array<long>, chunks array<int>")
+    return docs.select("id", "h", "text").mapInArrow(run, "id long, h long, h1 long, h2 long, n int, fp long, bits array<long>, items array<long>, chunks array<int>")
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -128,7 +132,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            sets = [shingle_set(t).view(np.int64) for t in batch.column(1).to_pylist()]
+            sets = [shingle_set(t).view(np.int64) for t in simhash.texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["rep", "items"])
 
     return docs.select("rep", "text").mapInArrow(run, "rep long, items array<long>")
@@ -184,7 +188,7 @@ def cross_candidates(shared: DataFrame, parts: DataFrame) -> DataFrame:
 
 def print_candidates(classes: DataFrame) -> DataFrame:
     """(a, b), a < b: classes of one fingerprint, each with the least, and of fingerprints that the trie links."""
-    least = cut(classes.groupBy("fp").agg(F.min("rep").alias("rep")))
+    least = classes.groupBy("fp").agg(F.min("rep").alias("rep"))
     same = classes.select("fp", F.col("rep").alias("r")).join(least, "fp").where(F.col("r") != F.col("rep")).select(*_pair(F.col("rep"), F.col("r")))
     links = simhash.trie_links(least.select("fp"))
     near = links.join(least.select(F.col("fp").alias("src"), F.col("rep").alias("x")), "src").join(least.select(F.col("fp").alias("dst"), F.col("rep").alias("y")), "dst")
@@ -193,7 +197,10 @@ def print_candidates(classes: DataFrame) -> DataFrame:
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b): pairs of classes whose sets have the similarity. docs has (id, h, text), of which a class has its first."""
-    pairs = cut(pairs)
+    side = lambda c, k: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
+    sketched = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
+    apart = F.aggregate(F.zip_with("bits1", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    pairs = cut(sketched.where((NUM + DEN) * apart <= (DEN - NUM) * (F.col("n1") + F.col("n2"))).select("a", "b"))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     nodes = cut(nodes.join(classes.select("rep", F.col("first.id").alias("of_id"), F.col("first.h").alias("of_h")), "rep"))
     few = F.broadcast(nodes) if nodes.count() <= MAX_NODES else nodes
@@ -206,9 +213,9 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
 
 def group_heads(docs: DataFrame) -> DataFrame:
     """(id, h): of each group of near copies in (id, h, text) the first, by id (nulls last) and hash of the text."""
-    sketches = cut(prefixes(docs))
+    sketches = prefixes(docs)
     place = F.struct(F.col("id").isNull().alias("last"), "id", "h")
-    classes = cut(sketches.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("first"), "n", "fp", "items", "chunks")).alias("s")).select("s.*").withColumn("rep", F.monotonically_increasing_id()))
+    classes = cut(sketches.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("first"), "n", "fp", "bits", "items", "chunks")).alias("s")).select("s.*").withColumn("rep", F.monotonically_increasing_id()))
     shared = cut(shared_items(classes))
     edges = cut(verified(docs, classes, first_candidates(shared).unionByName(print_candidates(classes.select("rep", "fp"))).distinct()))
     parts = connected_components(edges, "a", "b")

@@ -61,6 +61,12 @@ def majority(hashes) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
+def texts(column, rows: int = 256):
+    """The texts of an Arrow column, so many rows at a time as Python strings."""
+    for at in range(0, len(column), rows):
+        yield from column.slice(at, rows).to_pylist()
+
+
 def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """(doc_id, fp): fp is the fingerprint as a signed long; doc_id may be any value that tells documents apart."""
 
@@ -69,7 +75,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
+            fps = np.array([fingerprint(t, shingle) for t in texts(batch.column(1))], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
     rows = docs.select("doc_id", "text")
