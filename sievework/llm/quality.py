@@ -2,15 +2,14 @@
 
 A document has two histograms: characters by class, and its language's common words against all other words.
 Each is compared with the language's reference, the mean histogram of the table's documents of that language
-(all of them that are long enough), by Jensen-Shannon distance (base 2, 0 to 1). A document is rejected if
-a distance exceeds its limit; documents under min_words are not compared, those under
-min_common not by words, and a language without a word list
-is compared by character classes alone.
+that pass the count rules, by Jensen-Shannon distance (base 2, 0 to 1), so that junk doesn't shift what it is judged
+by. A document is rejected if a distance exceeds its limit; documents under min_words are not compared, those under
+min_common not by words, and a language without a word list is compared by character classes alone.
 
-Everything is column functions over whole texts. The first pass adds up histograms (partial sums per
-language); the second reads the texts again and looks each language up in that small table, so no text is
-shuffled. Repeated windows are found by sorting one number per window, its hash above its position, and
-comparing the words of neighbours.
+Everything is column functions over whole texts. One pass counts, and writes its rows to the shared folder; partial
+sums per language make the references, and each row looks its language up in that small table, so no text is
+read twice or shuffled. Repeated windows are found by sorting one number per window, its hash above its position;
+windows that share a hash with a neighbour are compared by their words, all of an equal run together.
 
 Rows: null and empty texts have no words and fail the count rules; a null language is a language of its own
 without a word list; equal rows get equal verdicts; other columns pass through, those named like added ones are
@@ -63,11 +62,10 @@ def _histograms(docs: DataFrame) -> DataFrame:
     return out.drop("listed", "common", "hits")
 
 
-def _references(hists: DataFrame, min_words: int) -> DataFrame:
-    long_enough = hists.where(F.col("n") >= min_words)
+def _references(counts: DataFrame) -> DataFrame:
     n_words = len(next(iter(COMMON_WORDS.values()))) + 1
     mean = lambda c, n: F.array(*[F.avg(F.get(F.col(c), F.lit(i))) for i in range(n)])
-    return long_enough.groupBy(F.col("lang").alias("of")).agg(mean("class_hist", len(CLASSES)).alias("class_ref"), mean("word_hist", n_words).alias("word_ref"))
+    return counts.where(~F.col("failed")).groupBy(F.col("lang").alias("of")).agg(mean("class_hist", len(CLASSES)).alias("class_ref"), mean("word_hist", n_words).alias("word_ref"))
 
 
 def jensen_shannon(p, q):
@@ -84,10 +82,11 @@ def _counts(docs: DataFrame) -> DataFrame:
     out = hists.withColumn("lines", lines).withColumn("b", F.length(F.bin("n")))
     window = "shiftleft(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)), b) | cast(i as bigint)"
     out = out.withColumn("windows", F.expr(f"if(n < 3, cast(array() as array<bigint>), sort_array(transform(sequence(0, cast(n - 3 as int)), i -> {window})))"))
-    place = lambda x: f"cast({x} & (shiftleft(1L, b) - 1) as int)"
-    same = lambda x, y: f"coalesce(shiftright({x}, b) = shiftright({y}, b) and get(w, {place(x)}) = get(w, {place(y)}) and get(w, {place(x)} + 1) = get(w, {place(y)} + 1) and get(w, {place(x)} + 2) = get(w, {place(y)} + 2), false)"
-    twice = f"filter(windows, (x, k) -> {same('x', 'get(windows, k + 1)')} or {same('x', 'get(windows, k - 1)')})"
-    out = out.withColumn("again", F.expr(f"sort_array(transform({twice}, x -> {place('x')}))"))
+    alike = lambda x, y: f"coalesce(shiftright({x}, b) = shiftright({y}, b), false)"
+    place = "cast(x & (shiftleft(1L, b) - 1) as int)"
+    out = out.withColumn("maybe", F.expr(f"transform(filter(windows, (x, k) -> {alike('x', 'get(windows, k + 1)')} or {alike('x', 'get(windows, k - 1)')}), x -> {place})"))
+    out = out.withColumn("spelt", F.expr("sort_array(transform(maybe, p -> named_struct('t', concat_ws(' ', get(w, p), get(w, p + 1), get(w, p + 2)), 'p', p)))"))
+    out = out.withColumn("again", F.expr("sort_array(transform(filter(spelt, (x, k) -> coalesce(x.t = get(spelt, k + 1).t, false) or coalesce(x.t = get(spelt, k - 1).t, false)), x -> x.p))"))
     repeat = F.expr("aggregate(again, named_struct('last', -3, 's', 0L), (a, x) -> named_struct('last', x, 's', a.s + least(3, x - a.last)), a -> a.s)")
     chars = (F.length("t") - F.col("c_blank")).cast("long")
     dups = (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long")
@@ -95,29 +94,19 @@ def _counts(docs: DataFrame) -> DataFrame:
 
 
 def quality(docs: DataFrame, *, slim: bool = False, min_words: int = 50, min_common: int = 100, max_repeat_pct: int = 50, class_limit: float = 0.3, word_limit: float = 0.27) -> DataFrame:
-    """docs with the counts, base_failed, both distances and kept.
-
-    slim leaves the texts out of the result; the counts are then written to the shared folder and the texts read once.
-    """
+    """docs with the counts, base_failed, both distances and kept; slim leaves the texts out of the result."""
     columns = [c for c in docs.columns if c not in ADDED and not (slim and c == "text")]
-    counts = _counts(docs.select("lang", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")))
-    if slim:
-        counts = cut(counts)
-    refs = cut(_references(counts if slim else _histograms(docs.select("lang", "text", F.lit(0).alias("row"))), min_words))
+    failed = (F.col("n") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n"))
+    counts = cut(_counts(docs.select("lang", "text", F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row"))).withColumn("failed", failed))
+    refs = cut(_references(counts))
     refs = F.broadcast(refs) if refs.count() <= MAX_LANGUAGES else refs
     out = counts.join(refs, F.col("lang").eqNullSafe(F.col("of")), "left")
     out = out.withColumn("class_distance", F.when(F.col("n") >= min_words, jensen_shannon(F.col("class_hist"), F.col("class_ref")))).withColumn("word_distance", F.when(F.col("n") >= min_common, jensen_shannon(F.col("word_hist"), F.col("word_ref"))))
-    failed = (F.col("n") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_pct * F.col("n"))
     far = F.coalesce(F.col("class_distance") > class_limit, F.lit(False)) | F.coalesce(F.col("word_distance") > word_limit, F.lit(False))
-    out = out.withColumn("base_failed", failed).withColumn("kept", ~failed & ~far)
+    out = out.withColumn("base_failed", F.col("failed")).withColumn("kept", ~F.col("failed") & ~far)
     return out.select(*[F.col(f"row.`{c}`") for c in columns], *ADDED)
 
 
 def keep_good(docs: DataFrame, **options) -> DataFrame:
-    """The documents kept, with their own columns.
-
-    The row number holds the filter above the projections: pushed below them, it would repeat the counting of
-    windows within each of its own steps.
-    """
-    judged = quality(docs.select("lang", "text", F.struct("*").alias("d")), **options).select("d", "kept", F.monotonically_increasing_id().alias("place"))
-    return judged.where(F.col("kept") & (F.col("place") >= 0)).select("d.*")
+    """The documents kept, with their own columns."""
+    return quality(docs.select("lang", "text", F.struct("*").alias("d")), slim=True, **options).where("kept").select("d.*")

@@ -45,3 +45,57 @@ def test_jensen_shannon(spark):
     got = [r[0] for r in df.select(quality.jensen_shannon(F.col("p"), F.col("q"))).collect()]
     assert got[0] == pytest.approx(1) and got[1] == pytest.approx(0)
     assert got[2] == pytest.approx(0.3834, abs=1e-3)
+
+
+def histograms(text, lang):
+    """Shares by class and by common word, counted letter by letter."""
+    import re
+    import unicodedata
+
+    words, total = [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w], max(1, len(text))
+    kinds = Counter()
+    for ch in text:
+        if "a" <= ch <= "z":
+            kinds["lower"] += 1
+        elif "A" <= ch <= "Z":
+            kinds["upper"] += 1
+        elif "0" <= ch <= "9":
+            kinds["digit"] += 1
+        elif ch in quality.BLANKS:
+            kinds["blank"] += 1
+        elif ch in "#*$%&|<>":
+            kinds["symbol"] += 1
+        else:
+            kinds["letter" if unicodedata.category(ch)[0] == "L" else "rest"] += 1
+    listed = quality.COMMON_WORDS.get(lang)
+    common = None
+    if listed:
+        hits = [sum(w == x for w in words) for x in listed]
+        common = [h / max(1, len(words)) for h in [*hits, len(words) - sum(hits)]]
+    return [kinds[c] / total for c in quality.CLASSES], common
+
+
+def distance(p, q):
+    from math import log2, sqrt
+
+    return sqrt(max(0.0, sum((x * log2(2 * x / (x + y)) if x else 0) + (y * log2(2 * y / (x + y)) if y else 0) for x, y in zip(p, q)) / 2))
+
+
+def test_distances_and_verdicts_against_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    hists = {i: histograms(r.text or "", r.lang) for i, r in rows.items()}
+    counts = {i: brute(r.text) for i, r in rows.items()}
+    sound = {i for i, c in counts.items() if c[0] >= 50 and 100 * c[4] <= 50 * c[0]}
+    refs = {}
+    for lang in {r.lang for r in rows.values()}:
+        own = [hists[i] for i in sound if rows[i].lang == lang]
+        if own:
+            refs[lang] = [[sum(c) / len(own) for c in zip(*(h[k] for h in own))] if own[0][k] else None for k in (0, 1)]
+    for r in quality.quality(docs).collect():
+        ref, h = refs.get(r.lang, (None, None)), hists[r.doc_id]
+        by_class = distance(h[0], ref[0]) if ref[0] and r.n_words >= 50 else None
+        by_word = distance(h[1], ref[1]) if ref[1] and h[1] and r.n_words >= 100 else None
+        assert r.class_distance == (by_class if by_class is None else pytest.approx(by_class, abs=1e-9))
+        assert r.word_distance == (by_word if by_word is None else pytest.approx(by_word, abs=1e-9))
+        assert r.kept == (r.doc_id in sound and (by_class or 0) <= 0.3 and (by_word or 0) <= 0.27)
