@@ -27,6 +27,7 @@ KINDS = ["assign", "access", "hex", "lexed"]
 SENSITIVE = re.compile(r"passw(?:or)?d|passphrase|\bpwd\b|secret|token|api_?key|private_?key|access_?key|auth_?key|credential|bearer|client_?key", re.I | re.A)
 PLACEHOLDER = re.compile(r"change_?me|example|placeholder|dummy|your[_-]|xxx|\*\*\*|<[^>]*>|\$\{|\{\{|getenv|environ|^(?:none|null|true|false|undefined|todo)$", re.I | re.A)
 LEXEME = re.compile(r"""(?P<comment>/\*.*?\*/)|(?P<str>"(?:\\.|[^"\\\n])*"|'(?:\\.|[^'\\\n])*'|`[^`\n]*`)|(?P<op>=>|:=|==|!=|<=|>=|[=:+])|(?P<word>[^\s"'`=:+,;(){}\[\]<>]+)|(?P<end>[\n,;(){}\[\]<>])|(?P<other>["'`])""", re.S)
+PLAIN = re.compile(LEXEME.pattern.replace(r"(?P<comment>/\*.*?\*/)|", ""), re.S)
 IDENTIFIER = re.compile(r"[A-Za-z_$][\w$.-]*", re.A)
 SCORE = 4
 REPEATS = 10_000
@@ -40,11 +41,19 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return sorted(out, key=lambda s: (s[1], KINDS.index(s[0])))
 
 
+def lexemes(text: str):
+    """Matches of LEXEME in order. Behind the last end of a comment none is looked for, so that an open one is scanned once."""
+    at, last = 0, text.rfind("*/")
+    while m := (LEXEME if at <= last else PLAIN).search(text, at):
+        yield m
+        at = m.end()
+
+
 def assignments(text: str):
     """(name, [operands]) for each assignment; an operand is (literal or None, constant name or None, start, end)."""
     name, operands, reading = None, [], False
     before = None  # the last word or string, which an operator may make a name
-    for m in LEXEME.finditer(text):
+    for m in lexemes(text):
         kind, value = m.lastgroup, m[0]
         if kind in ("comment", "other"):
             continue

@@ -20,3 +20,18 @@ def test_names_that_double_do_not_blow_up():
 def test_rest_of_a_literal_behind_a_base_span():
     assert lexed('password = "abcdefgh1!rest"') == ["!rest"]
     assert lexed('password = "abcDEF123456"') == []
+
+
+def test_open_comments_and_many_pairs_take_linear_time():
+    import time
+
+    began = time.time()
+    assert secrets.lexed_spans("password " + "/* " * 400_000) == []
+    text = "password = 'abcd1234efgh!x'\n" * 20_000
+    assert len(secrets.all_spans(text)) >= 20_000
+    assert time.time() - began < 30
+
+
+def test_a_comment_hides_its_literals_and_an_open_one_none():
+    assert secrets.lexed_spans("/* my_secret_thing = 'Zx81kq?77ab!' */ a = 1") == []
+    assert len(secrets.lexed_spans("/* c */ my_private_key = 'Zx81kq?77ab!' /* open")) == 1
