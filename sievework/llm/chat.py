@@ -9,7 +9,7 @@ Running values are two-level, within BUCKET turn numbers and over the buckets be
 is many groups until it is rendered into its one row; equal conversations and prefixes are merged by partial sums
 before anything is joined, so a common opening is one row.
 
-Rows: turns are ordered by turn, role, text, nulls first; a null role or text counts as empty; repeated rows are
+Rows: turns are ordered by turn, nulls first, those of one number by a hash of role and text, the same in every run; a null role or text counts as empty; repeated rows are
 turns of their own; rows with a null conv_id are one conversation; other columns are ignored; an empty table gives
 an empty result.
 """
