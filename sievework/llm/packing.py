@@ -103,20 +103,18 @@ def pack(docs: DataFrame, vocabulary: str, *, end_id: int = 2, seq_len: int = 10
     """Pieces with sequence_id and offset.
 
     The pieces are written once to the shared folder, for their ranks to hold. The driver gets the counts per
-    length (seq_len rows at most) and sends back the slot ranges, a list bounded by MAX_SLOTS.
+    length (seq_len rows at most) and sends back the slot ranges: up to MAX_SLOTS by broadcast, more as a table to join.
     """
     spark = docs.sparkSession
     pieces = cut(token_pieces(docs, vocabulary, end_id=end_id, seq_len=seq_len, keep_space=keep_space, with_ids=with_ids))
     by_task = pieces.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n"))
     counts = {r[0]: r[1] for r in by_task.groupBy("length").agg(F.sum("n")).collect()}
     slots = plan_slots(counts, seq_len)
-    if len(slots) > MAX_SLOTS:
-        raise RuntimeError(f"the plan has {len(slots)} slot ranges; use a shorter sequence")
     planned = spark.createDataFrame(slots, "slot_length long, first long, end long, sequence long, at long").coalesce(1)
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     shifts = by_task.select("task", "length", before.alias("shift"))
     ranked = pieces.join(shifts, ["task", "length"]).withColumn("rank", F.col("task_rank") + F.col("shift"))
-    placed = ranked.join(F.broadcast(planned), (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    placed = ranked.join(F.broadcast(planned) if len(slots) <= MAX_SLOTS else planned, (F.col("length") == F.col("slot_length")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
     out = placed.withColumn("sequence_id", F.col("sequence") + F.col("rank") - F.col("first"))
     return out.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", F.col("at").alias("offset"), *(["ids"] if with_ids else []))
 
