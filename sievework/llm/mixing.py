@@ -6,8 +6,10 @@ rest ends is taken in part. The axis is cut into blocks of block_words; a docume
 which it starts. A tree then halves the output shards again and again: at each node the left half draws its
 share of every source's blocks from the multivariate hypergeometric law (exact inversion over eight standard
 deviations, driven by a hash of seed, node and source), so quotas are whole numbers that add up at every
-node. At a leaf, a shard owns a run of slots of each source; slots are a permutation of blocks. Shards
-are shuffled locally by a keyed hash.
+node. At a leaf, a shard owns a run of slots of each source; slots are a keyed permutation of blocks (an affine map
+whose factor, drawn by the seed for each source, has no divisor in common with the number of blocks; which documents
+share a block is random already). A document is taken as often as its block is drawn, and by the shards that own
+the draws. Shards are shuffled locally by a keyed hash.
 
 Positions on the axis are two-level sums: hash buckets within a source, then documents within a bucket, each
 about the square root of the table, so a source with a third of all rows is many small groups. What is
@@ -31,9 +33,9 @@ from sievework.runtime import cut
 WORD = r"[^\x20\x09-\x0D]+"
 BLOCK_WORDS = 1 << 15
 SHARD_WORDS = 1 << 22
-MAX_SHARDS = 4096
+MAX_SHARDS = 1 << 19
 MAX_PLAN = 2_000_000
-PRIME = 2_147_483_647  # slots are a permutation of blocks for any block count below it
+MAX_BLOCKS = 1 << 30  # blocks of all sources; beyond it blocks are larger
 ADDED = ["size", "source_size", "target", "taken", "draws"]
 
 
@@ -92,26 +94,30 @@ def plan_mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: fl
     rows = rows.withColumn("_b", F.pmod("_h", F.lit(buckets)).cast("int"))
     totals = cut(rows.groupBy("source", "_b").agg(F.sum("size").alias("words")))
     aims = targets(totals.groupBy("source").agg(F.sum("words").alias("words")), weights, share, limit)
+    total = totals.agg(F.sum("words")).first()[0] or 0
+    block_words = max(block_words, -(-int(total * max(1, limit)) // MAX_BLOCKS))
     blocks = F.ceil(F.col("words") / F.lit(block_words))
     quota = F.floor(F.col("target") + 0.5)
     aims = aims.withColumn("quota", F.when(F.col("words") > 0, F.least(quota, F.col("words") * limit)).otherwise(0)).withColumn("passes", F.when(F.col("words") > 0, F.expr("quota div words")).otherwise(0)).withColumn("rest", F.col("quota") - F.col("passes") * F.col("words"))
     aims = cut(aims.withColumn("per_pass", blocks).withColumn("blocks", F.col("passes") * F.col("per_pass") + F.ceil(F.col("rest") / F.lit(block_words))))
     n_sources, all_words = aims.agg(F.count(F.lit(1)), F.sum("quota")).first()
-    if n_sources > MAX_PLAN // 2:
-        raise ValueError("too many sources to plan for; group them first")
-    wanted = max(1, min(MAX_SHARDS, MAX_PLAN // max(1, n_sources), -(-(all_words or 0) // shard_words)))
+    wanted = max(1, min(MAX_SHARDS, max(64, MAX_PLAN // max(1, n_sources)), -(-(all_words or 0) // shard_words)))
     shards = 1 << (wanted.bit_length() - 1)
     plan = aims.join(splitting_tree(aims.select("rank", "blocks"), shards, seed), "rank", "left").withColumnRenamed("source", "_s")
+    divisor = "aggregate(sequence(1, 64), named_struct('a', f, 'b', blocks), (g, i) -> if(g.b = 0, g, named_struct('a', g.b, 'b', g.a % g.b)), g -> g.a)"
+    tries = f"transform(sequence(0, 63), i -> 1 + pmod(xxhash64({seed}, rank, i), greatest(blocks - 1, 1L)))"
+    plan = plan.withColumn("factor", F.expr(f"coalesce(get(filter({tries}, f -> {divisor} = 1), 0), 1L)"))
+    small = F.broadcast if n_sources * shards <= MAX_PLAN else (lambda t: t)
     before = F.coalesce(F.sum("words").over(Window.partitionBy("source").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     begins = totals.select(F.col("source").alias("_bs"), F.col("_b").alias("_bb"), before.alias("_at"))
     placed = rows.join(begins, F.col("source").eqNullSafe(F.col("_bs")) & (F.col("_b") == F.col("_bb")))
     inside = Window.partitionBy("source", "_b").orderBy("_h", "_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("_start", F.col("_at") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    aimed = placed.join(F.broadcast(plan), F.col("source").eqNullSafe(F.col("_s")))
+    aimed = placed.join(small(plan), F.col("source").eqNullSafe(F.col("_s")))
     last = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("_start")))
     copies = F.expr("filter(transform(sequence(0L, passes), c -> named_struct('copy', c, 'words', if(c < passes, size, _last))), x -> x.words > 0)")
     steps = [1 << i for i in range(int(math.log2(shards)) - 1, -1, -1)]
-    slot = f"pmod(({PRIME}L % greatest(blocks, 1L)) * (x.copy * per_pass + _start div {block_words}L) + pmod(xxhash64({seed}, rank), greatest(blocks, 1L)), greatest(blocks, 1L))"
+    slot = f"pmod(factor * (x.copy * per_pass + _start div {block_words}L) + pmod(xxhash64({seed}, rank), greatest(blocks, 1L)), greatest(blocks, 1L))"
     find = f"aggregate(array({', '.join(map(str, steps))}), 0, (p, s) -> if(element_at(offsets, p + s + 1) <= z, p + s, p))" if steps else "0"
     draws = F.expr(f"transform(_copies, x -> named_struct('copy', cast(x.copy as int), 'shard', element_at(transform(array({slot}), z -> {find}), 1), 'words', x.words))")
     out = aimed.withColumn("_last", last).withColumn("_copies", copies).withColumn("draws", draws)

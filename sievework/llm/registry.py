@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
+from importlib import import_module
+
+from pyspark.sql import functions as F
+
 from sievework.llm import chat, embedding_dedup, encoding, html_text, line_dedup, mixing, packing, quality, secrets, simhash, token_files
 from sievework.runtime import spread, table
 
 
 def op1_source_mix(spark, sf_dir):
     out = mixing.plan_mix(spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "text"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    return out.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda x: x["shard"]).alias("shards"))
 
 
 def op2_line_dedup(spark, sf_dir):
@@ -49,8 +52,12 @@ def op10_best_fit_packing(spark, sf_dir):
     return packing.pack(spread(table(spark, sf_dir, "documents")), encoding.vocabulary("byte_bpe_50k.json"))
 
 
+def pipeline(spark, sf_dir):
+    return import_module("corpus_pipeline").run(spark, sf_dir)
+
+
 def queries():
-    return {"op1_source_mix": op1_source_mix, "op2_line_dedup": op2_line_dedup, "op3_html_text": op3_html_text, "op4_secret_scan": op4_secret_scan, "op5_quality_rules": op5_quality_rules, "op6_simhash": op6_simhash, "op7_embedding_dedup": op7_embedding_dedup, "op8_token_files": op8_token_files, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing, "pipeline": corpus_pipeline.run}
+    return {"op1_source_mix": op1_source_mix, "op2_line_dedup": op2_line_dedup, "op3_html_text": op3_html_text, "op4_secret_scan": op4_secret_scan, "op5_quality_rules": op5_quality_rules, "op6_simhash": op6_simhash, "op7_embedding_dedup": op7_embedding_dedup, "op8_token_files": op8_token_files, "op9_chat_format": op9_chat_format, "op10_best_fit_packing": op10_best_fit_packing, "pipeline": pipeline}
 
 
 def oracle_sql():
