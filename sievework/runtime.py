@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_MADE: list[str] = []
+
+
 def session(app: str = "sievework", **conf: str) -> SparkSession:
     """A session with adaptive execution and UTC; cluster settings win over these defaults."""
     builder = SparkSession.builder.appName(app)
@@ -49,10 +52,29 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A folder of its own in the shared one; clean_up removes it."""
+    _MADE.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def clean_up(spark: SparkSession) -> int:
+    """Remove the folders that new_folder made in this process; tables read from them are gone then. Returns how many there were."""
+    n = len(_MADE)
+    for folder in _MADE:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _MADE.clear()
+    return n
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Write df to the shared checkpoint folder and go on from there, so that a lost executor costs one stage only."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df: DataFrame, name: str = "table") -> DataFrame:
+    """As cut, by a written table: smaller than a checkpoint, and later reads take only the columns they need."""
+    folder = new_folder(df.sparkSession, name)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
