@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.runtime import cut
+from sievework.runtime import cut, stored
 
 HOT_KEYS = 10_000
 BLANKS = " \t\n\x0b\f\r"
@@ -43,7 +43,7 @@ def line_hashes(docs: DataFrame, min_chars: int = 1) -> DataFrame:
 def dropped_lines(docs: DataFrame, *, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False) -> DataFrame:
     """(doc_id, k, pos) of lines whose key is in min_docs documents; keep_first spares a key's first occurrence."""
     by_key = ["h1", "h2"]
-    rows = cut(line_hashes(docs, min_chars).withColumn("nameless", F.when(F.col("doc_id").isNull(), F.col("k")).otherwise(0)))
+    rows = stored(line_hashes(docs, min_chars), "lines").withColumn("nameless", F.when(F.col("doc_id").isNull(), F.col("k")).otherwise(0))
     document = [*by_key, "doc_id", "nameless"]
     nth = F.row_number().over(Window.partitionBy(*document).orderBy("k", "pos"))
     firsts = rows.repartitionByRange(*document).withColumn("nth", nth).where("nth = 1")

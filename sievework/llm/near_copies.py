@@ -1,8 +1,8 @@
 """Near copies on word shingles: SimHash links and an exact Jaccard self-join over prefixes of rare shingles.
 
 A document's set holds the hashes of its five-word shingles; equal sets are one class. Candidates come in three
-ways; most are ruled out by parity bits (BITS hashed bits of a set, each flipped by every item there: sets differ in at
-least as many items as in bits), and the rest is verified on the whole sets (Jaccard 0.8 or more):
+ways; most are ruled out by parity bits (hashed bits of a set, as many as it has items, each flipped by every item there:
+sets differ in at least as many items as in bits), and the rest is verified on the whole sets (Jaccard 0.8 or more):
 
 * fingerprints of the shingles that the trie self-join of simhash links (3 bits of 64);
 * prefixes: two sets of sizes m and n with that Jaccard share an item among the first n - ceil(0.8 n) + 1 of each, in
@@ -30,15 +30,15 @@ from pyspark.sql.window import Window
 
 from sievework.llm import simhash
 from sievework.operators.components import connected_components
-from sievework.runtime import cut
+from sievework.runtime import cut, stored
 
 SHINGLE = 5
 NUM, DEN = 4, 5  # the least Jaccard, as a fraction: all comparisons are of whole numbers
 SLOTS = 1 << 20
 CHUNK = 1_000
 SMALL = 6
-BITS = 1024
-MAX_NODES = 500_000  # more candidates than this are not broadcast
+BITS = 512  # at least
+MAX_NODES = 500_000  # more candidates, or documents to drop, than this are not broadcast
 
 
 def shingle_hashes(text: str | None, shingle: int = SHINGLE):
@@ -113,7 +113,8 @@ def prefixes(docs: DataFrame) -> DataFrame:
                 hs.append(xxhash.xxh3_128_digest(s.tobytes()))
                 ns.append(n)
                 fps.append(simhash.majority(each) if n else 0)
-                odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % BITS, minlength=BITS) & 1
+                wide = max(BITS, 1 << max(0, n - 1).bit_length())
+                odd = np.bincount((s >> np.uint64(20)).astype(np.int64) % wide, minlength=wide) & 1
                 bits.append(np.packbits(odd.astype(np.uint8)).view("<i8"))
                 items.append(s[first].view(np.int64))
                 chunks.append((1 + d // chunk).astype(np.int32) if d.max(initial=0) >= chunk else None)
@@ -196,38 +197,59 @@ def print_candidates(classes: DataFrame) -> DataFrame:
 
 
 def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(a, b): pairs of classes whose sets have the similarity. docs has (id, h, text), of which a class has its first."""
+    """(a, b): pairs of classes whose sets have the similarity. docs has (id, h, text), classes (rep, id, h, n, bits) of a document each."""
     side = lambda c, k: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
     sketched = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
-    apart = F.aggregate(F.zip_with("bits1", "bits2", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = cut(sketched.where((NUM + DEN) * apart <= (DEN - NUM) * (F.col("n1") + F.col("n2"))).select("a", "b"))
+    half = lambda b: F.zip_with(F.slice(b, F.lit(1), (F.size(b) / 2).cast("int")), F.slice(b, (F.size(b) / 2 + 1).cast("int"), (F.size(b) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    fold = lambda b, other: F.when(F.size(b) == 2 * F.size(other), half(F.col(b))).otherwise(F.col(b))
+    apart = F.aggregate(F.zip_with(fold("bits1", "bits2"), fold("bits2", "bits1"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    pairs = cut(sketched.where((DEN * F.col("n1") >= NUM * F.col("n2")) & (DEN * F.col("n2") >= NUM * F.col("n1"))).where((NUM + DEN) * apart <= (DEN - NUM) * (F.col("n1") + F.col("n2"))).select("a", "b"))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-    nodes = cut(nodes.join(classes.select("rep", F.col("first.id").alias("of_id"), F.col("first.h").alias("of_h")), "rep"))
-    few = F.broadcast(nodes) if nodes.count() <= MAX_NODES else nodes
-    texts = docs.join(few, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h"))).select("rep", "text")
+    nodes = few(nodes.join(classes.select("rep", F.col("id").alias("of_id"), F.col("h").alias("of_h")), "rep"))
+    texts = docs.join(nodes, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h"))).select("rep", "text")
     sets = cut(sets_of(texts)).dropDuplicates(["rep"])
     both = pairs.join(sets.select(F.col("rep").alias("a"), F.col("items").alias("x")), "a").join(sets.select(F.col("rep").alias("b"), F.col("items").alias("y")), "b")
     c = F.size(F.array_intersect("x", "y"))
     return both.where(DEN * c >= NUM * (F.size("x") + F.size("y") - c)).select("a", "b")
 
 
-def group_heads(docs: DataFrame) -> DataFrame:
-    """(id, h): of each group of near copies in (id, h, text) the first, by id (nulls last) and hash of the text."""
-    sketches = prefixes(docs)
-    place = F.struct(F.col("id").isNull().alias("last"), "id", "h")
-    classes = cut(sketches.groupBy("h1", "h2").agg(F.min(F.struct(place.alias("first"), "n", "fp", "bits", "items", "chunks")).alias("s")).select("s.*").withColumn("rep", F.monotonically_increasing_id()))
-    shared = cut(shared_items(classes))
+def groups(docs: DataFrame) -> DataFrame:
+    """(row, id, h, head): each document of (id, h, text) and the row of the first of its group, by id (nulls last) and hash of the text."""
+    sketches = stored(prefixes(docs).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    place = F.struct(F.col("id").isNull().alias("last"), "id", "h", "row")
+    firsts = sketches.groupBy("h1", "h2").agg(F.min(place).alias("first"))
+    members = stored(sketches.select("row", "id", "h", "h1", "h2").join(firsts, ["h1", "h2"]).select("row", "id", "h", F.col("first.row").alias("rep")), "members")
+    classes = sketches.withColumnRenamed("row", "rep").join(few(members.where("row <> rep").select(F.col("row").alias("rep"))), "rep", "left_anti")
+    shared = stored(shared_items(classes), "shared")
     edges = cut(verified(docs, classes, first_candidates(shared).unionByName(print_candidates(classes.select("rep", "fp"))).distinct()))
     parts = connected_components(edges, "a", "b")
     more = verified(docs, classes, cross_candidates(shared, parts))
     parts = connected_components(edges.unionByName(more), "a", "b")
-    named = classes.select("rep", "first").join(parts, F.col("rep") == F.col("node"), "left")
-    return named.groupBy(F.coalesce("component", "rep").alias("part")).agg(F.min("first").alias("f")).select("f.id", "f.h")
+    named = members.join(parts, F.col("rep") == F.col("node"), "left").select("row", "id", "h", F.coalesce("component", "rep").alias("part"))
+    heads = named.groupBy("part").agg(F.min(place).alias("first"))
+    return named.join(heads, "part").select("row", "id", "h", F.col("first.row").alias("head"))
+
+
+def few(rows: DataFrame) -> DataFrame:
+    """To be broadcast if there are at most MAX_NODES rows."""
+    rows = cut(rows)
+    return F.broadcast(rows) if rows.count() <= MAX_NODES else rows
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group: that with the least doc_id, then the least hash of its text; ids that are null come last."""
+    """One document of each group: that with the least doc_id, then the least hash of its text; ids that are null come last.
+
+    What goes is looked up, not what stays, so that texts are moved only where there is much of it, or where rows are equal.
+    """
     marked = docs.select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("h"), "text", F.struct("*").alias("d"))
-    heads = group_heads(marked.select("id", "h", "text")).select(F.col("id").alias("of_id"), F.col("h").alias("of_h"))
-    kept = marked.join(heads.hint("shuffle_hash"), F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h")), "left_semi")
-    return kept.dropDuplicates(["id", "h"]).select("d.*")
+    known = stored(groups(marked.select("id", "h", "text")), "groups")
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["h"] == b["h"])
+    heads, rest = known.where("row = head").select("id", "h"), known.where("row <> head").select("id", "h").distinct()
+    gone = few(rest.join(heads, same(rest, heads), "left_anti"))
+    again = cut(heads.join(rest, same(heads, rest), "left_semi"))
+    kept = marked.join(gone, same(marked, gone), "left_anti")
+    if not again.isEmpty():
+        again = few(again)
+        equal = kept.join(again, same(kept, again), "left_semi").dropDuplicates(["id", "h"])
+        kept = kept.join(again, same(kept, again), "left_anti").unionByName(equal)
+    return kept.select("d.*")
