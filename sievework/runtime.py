@@ -28,10 +28,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+TASK_BYTES = 128 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Deal a one-file input over the cores before a heavy stage; inputs with enough splits stay as they are."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores // 2 else df
+    """Deal an input over the cores before a heavy stage.
+
+    One of too few splits is repartitioned; of many small ones, neighbours are read by one task, up to TASK_BYTES and at
+    least two tasks a core, so that what follows writes fewer and larger files.
+    """
+    cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
+    if parts < cores // 2:
+        return df.repartition(cores)
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    wanted = max(2 * cores, -(-size // TASK_BYTES))
+    return df.coalesce(wanted) if wanted < parts else df
 
 
 def shared_dir(spark: SparkSession) -> str:
