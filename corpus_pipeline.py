@@ -6,7 +6,7 @@ next one's docs. All but the last return the columns of documents:
 quality     documents that the quality rules reject go;
 line_dedup  of a line that ten or more documents share only the first occurrence stays;
 simhash     one document of each group of near copies (Jaccard 0.8 or more on five-word shingles) stays, that with
-            the least doc_id;
+            the least doc_id: the trie self-join of fingerprints links the closest, a prefix join the rest;
 mixing      sources are repeated or reduced to their target shares;
 packing     token pieces get their places in sequences.
 
@@ -27,11 +27,11 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return line_dedup.without_shared_lines(docs, keep_first=True)
+    return line_dedup.without_shared_lines(spread(docs), keep_first=True)
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return near_copies.keep_one(docs)
+    return near_copies.keep_one(spread(docs))
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
