@@ -10,10 +10,9 @@ from sievework.operators.components import connected_components
 
 
 def latest_of_reposts(cases: DataFrame, key: Column, newest: list[Column], chars: int = 120) -> DataFrame:
-    """The newest row of each leading-text key; rows with an empty key never collapse."""
-    k = F.substring(key, 1, chars)
-    ranked = cases.withColumn("_k", k).withColumn("_n", F.row_number().over(Window.partitionBy("_k").orderBy(*newest)))
-    return ranked.where((F.col("_n") == 1) | (F.col("_k") == "")).drop("_k", "_n")
+    """The newest row of each leading-text key; rows with an empty key never collapse, each of them is a group of its own."""
+    keyed = cases.withColumn("_k", F.substring(key, 1, chars)).withColumn("_own", F.when(F.coalesce(F.col("_k"), F.lit("")) == "", F.monotonically_increasing_id()))
+    return keyed.withColumn("_n", F.row_number().over(Window.partitionBy("_k", "_own").orderBy(*newest))).where("_n = 1").drop("_k", "_own", "_n")
 
 
 def first_n_per(cases: DataFrame, by: list[str], n: int, order: list[Column]) -> DataFrame:
@@ -22,8 +21,8 @@ def first_n_per(cases: DataFrame, by: list[str], n: int, order: list[Column]) ->
 
 
 def hash_capped(cases: DataFrame, by: list[str], n: int, key: str, seed: int = 0) -> DataFrame:
-    """A cap per group by a seeded hash order, the same in every run."""
-    return first_n_per(cases, by, n, [F.xxhash64(F.lit(seed), F.col(key)), F.col(key)])
+    """A cap per group by a seeded hash order, the same in every run and every engine that has MD5."""
+    return first_n_per(cases, by, n, [F.md5(F.concat_ws("|", F.lit(seed), F.col(key))), F.col(key)])
 
 
 def key_groups(keys: DataFrame, more_edges: DataFrame | None = None) -> DataFrame:
@@ -40,7 +39,7 @@ def key_groups(keys: DataFrame, more_edges: DataFrame | None = None) -> DataFram
 def stratified_split(groups: DataFrame, shares: tuple[float, float] = (0.6, 0.8), seed: int = 0) -> DataFrame:
     """(group, split) from (group, stratum): cut points per stratum in hash order; a group keeps its first stratum's split."""
     pairs = groups.select("group", "stratum").distinct()
-    order = Window.partitionBy("stratum").orderBy(F.xxhash64(F.lit(seed), "group"), "group")
+    order = Window.partitionBy("stratum").orderBy(F.md5(F.concat_ws("|", F.lit(seed), "group")), "group")
     placed = pairs.withColumn("i", F.row_number().over(order)).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("stratum")))
     a, b = (F.bround(F.col("n") * F.lit(s)) for s in shares)
     split = F.when(F.col("i") <= a, "train").when(F.col("i") <= b, "calibration").otherwise("test")
@@ -48,12 +47,17 @@ def stratified_split(groups: DataFrame, shares: tuple[float, float] = (0.6, 0.8)
 
 
 def balanced_weights(cases: DataFrame, group: str, label: str) -> DataFrame:
-    """weight = 1 / group size, scaled so that the classes weigh the same and the mean stays."""
-    raw = 1 / F.count(F.lit(1)).over(Window.partitionBy(group))
-    w = cases.withColumn("_w", raw)
-    totals = w.groupBy(label).agg(F.sum("_w").alias("_class")).withColumn("_all", F.sum("_class").over(Window.partitionBy())).withColumn("_classes", F.count(F.lit(1)).over(Window.partitionBy()))
-    scaled = w.join(F.broadcast(totals), label)
-    return scaled.withColumn("weight", F.col("_w") * F.col("_all") / (F.col("_classes") * F.col("_class"))).drop("_w", "_class", "_all", "_classes")
+    """weight = 1 / group size, scaled so that the classes weigh the same and the mean stays.
+
+    Sizes and class totals are partial sums joined back, so no group is gathered in one task.
+    """
+    cells = cases.groupBy(F.col(group).alias("_g"), F.col(label).alias("_y")).agg(F.count(F.lit(1)).alias("_c"))
+    sizes = cells.groupBy("_g").agg(F.sum("_c").alias("_size"))
+    per_cell = cells.join(sizes.withColumnRenamed("_g", "_h"), F.col("_g").eqNullSafe(F.col("_h")))
+    totals = per_cell.groupBy("_y").agg(F.sum(F.col("_c") / F.col("_size")).alias("_class"))
+    totals = totals.withColumn("_all", F.sum("_class").over(Window.partitionBy())).withColumn("_classes", F.count(F.lit(1)).over(Window.partitionBy()))  # a row per class
+    sized = cases.join(sizes, F.col(group).eqNullSafe(F.col("_g"))).join(totals, F.col(label) == F.col("_y"))
+    return sized.withColumn("weight", F.col("_all") / (F.col("_size") * F.col("_classes") * F.col("_class"))).select(*cases.columns, "weight")
 
 
 def chat_windows(turns: DataFrame, key: str, order: str, text: str, size: int = 3, least: int = 4, limit: int = 12) -> DataFrame:

@@ -1,6 +1,7 @@
 """An index of confirmed images: what normal cases show too goes, and near copies keep their first row.
 
-Hashes within k bits agree in at least one of k + 1 bands, so near pairs come from equi-joins on bands.
+Hashes within k bits agree in at least AGREE of BANDS bands, for a k of up to BANDS - AGREE, so near pairs come from equi-joins on
+sets of bands: more rows an image, but keys of 32 bits, which few images share.
 """
 
 from __future__ import annotations
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 
 from sievework.runtime import cut
 
-MAX_NORMAL = 100_000
+BLOCK = 100_000
+BANDS, AGREE = 8, 4
 
 
 def bands(h: Column, k: int) -> Column:
@@ -27,20 +29,38 @@ def bits(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def shown_in(images: DataFrame, normal: DataFrame, within: int = 12) -> DataFrame:
-    """(ref) of images whose phash is within so many bits of a normal one's: in full against up to MAX_NORMAL, by bands beyond."""
-    other = cut(normal.select(F.col("phash").alias("p2")).where("p2 is not null").distinct())
-    if other.count() <= MAX_NORMAL:
-        return images.join(F.broadcast(other), bits("phash", "p2") <= within, "left_semi").select("ref")
-    a = images.select("ref", "phash", F.explode(bands(F.col("phash"), within + 1)).alias("band"))
-    b = other.select("p2", F.explode(bands(F.col("p2"), within + 1)).alias("band"))
-    return a.join(b, "band").where(bits("phash", "p2") <= within).select("ref").distinct()
+def band_sets(h: Column) -> Column:
+    """array<struct(i, v)>: each choice of AGREE of the BANDS pieces of a 64-bit hash, with the bits of its pieces."""
+    from itertools import combinations
+
+    width = 64 // BANDS
+    piece = lambda i: F.shiftrightunsigned(h, i * width).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
+    out = []
+    for n, chosen in enumerate(combinations(range(BANDS), AGREE)):
+        v = F.lit(0).cast("long")
+        for i in chosen:
+            v = F.shiftleft(v, width).bitwiseOR(piece(i))
+        out.append(F.struct(F.lit(n).alias("i"), v.alias("v")))
+    return F.array(*out)
 
 
-def near_pairs(images: DataFrame, within: int = 4) -> DataFrame:
-    """(first, second): pairs of refs with both hashes within so many bits, by bands of the phash."""
-    a = images.select(F.col("ref").alias("first"), F.col("phash").alias("pa"), F.col("dhash").alias("da"), F.explode(bands(F.col("phash"), within + 1)).alias("band"))
-    b = images.select(F.col("ref").alias("second"), F.col("phash").alias("pb"), F.col("dhash").alias("db"), F.explode(bands(F.col("phash"), within + 1)).alias("band"))
+def shown_in(images: DataFrame, normal: DataFrame, within: int = 12) -> DataFrame:
+    """(ref) of images whose phash is within so many bits of a normal one's; the normal ones go to every task a block at a time."""
+    other = cut(normal.select(F.col("phash").alias("p2")).where("p2 is not null").distinct())
+    blocks = max(1, -(-other.count() // BLOCK))
+    left = images
+    for k in range(blocks):  # what one block shows needs no further one
+        part = F.broadcast(other.where(F.pmod(F.xxhash64("p2"), F.lit(blocks)) == k))
+        left = left.join(part, bits("phash", "p2") <= within, "left_anti")
+    return images.select("ref").join(left.select("ref"), "ref", "left_anti")
+
+
+def near_pairs(images: DataFrame, within: int = BANDS - AGREE) -> DataFrame:
+    """(first, second): pairs of refs with both hashes within so many bits, by sets of bands of the phash."""
+    if within > BANDS - AGREE:
+        raise ValueError(f"bands find pairs within {BANDS - AGREE} bits")
+    a = images.select(F.col("ref").alias("first"), F.col("phash").alias("pa"), F.col("dhash").alias("da"), F.explode(band_sets(F.col("phash"))).alias("band"))
+    b = images.select(F.col("ref").alias("second"), F.col("phash").alias("pb"), F.col("dhash").alias("db"), F.explode(band_sets(F.col("phash"))).alias("band"))
     close = (F.col("first") < F.col("second")) & (bits("pa", "pb") <= within) & (bits("da", "db") <= within)
     return a.join(b, "band").where(close).select("first", "second").distinct()
 

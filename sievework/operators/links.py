@@ -15,6 +15,8 @@ RISKY_TLDS = ["shop", "top", "cc", "site", "xyz", "asia", "store", "online", "ic
 SHOP_WORDS = ["貨到付款", "限時", "倒數", "特價", "原價", "折扣", "下單", "立即購買", "搶購", "僅剩", "庫存", "免運", "七天鑑賞", "買一送一"]
 COMPANY_WORDS = ["統一編號", "統編", "公司地址", "營業登記", "客服電話", "退貨政策", "隱私權政策"]
 INVEST_WORDS = ["飆股", "老師", "帶單", "選股", "加入群組", "股票群", "投資群", "領取名單", "免費領取", "穩賺", "保證獲利", "內線"]
+INTERNAL = ["instagram.com", "facebook.com", "fb.com", "meta.com", "threads.net", "threads.com", "messenger.com", "fbcdn.net", "cdninstagram.com", "whatsapp.com", "oculus.com", "x.com", "twitter.com", "dcard.tw", "youtube.com", "google.com", "apple.com", "tiktok.com", "ptt.cc"]
+# Fixed value: an address printed in a text.
 URL_PATTERN = r"(?iU)(?<![@\w.])((?:https?://)?(?:[a-z0-9-]+\.)+(?:com|net|org|tw|cc|top|shop|xyz|site|vip|me|ee|ly|io|co|gd|at|info|online|store|asia|icu|app|link|cn|hk|buzz|cyou|sbs)(?:/[^\s，。、）)」」\"'<>]*)?)"
 
 
@@ -33,7 +35,7 @@ def urls_in_text(text: Column) -> Column:
     return F.array_distinct(full)
 
 
-def rank_links(links: DataFrame, limit: int = 4, internal: list[str] = ()) -> DataFrame:
+def rank_links(links: DataFrame, limit: int = 4, internal: list[str] = INTERNAL) -> DataFrame:
     """From (page, page_host, url, source): each page's links, most suspicious first, once per host and path."""
     u = links.withColumn("url", urls.unwrap_click(F.col("url"))).withColumn("p", urls.parts(F.col("url")))
     host = F.regexp_replace("p.host", r"^www\.", "")
@@ -45,6 +47,14 @@ def rank_links(links: DataFrame, limit: int = 4, internal: list[str] = ()) -> Da
     return ranked.where(F.col("rank") <= limit).select("page", "rank", "url", "source", "priority", "host")
 
 
+def links_with_context(texts: DataFrame, chars: int = 200) -> DataFrame:
+    """(page, url, source, context) from (page, source, text): addresses with the line on which each stands first in the order of sources and lines."""
+    lines = texts.select("page", "source", F.posexplode(F.split("text", r"\r?\n")).alias("at", "line"))
+    found = lines.select("page", "source", "at", "line", F.explode(urls_in_text(F.col("line"))).alias("url"))
+    first = found.groupBy("page", "url").agg(F.min(F.struct("source", "at", "line")).alias("f"))
+    return first.select("page", "url", "f.source", F.substring(F.trim("f.line"), 1, chars).alias("context"))
+
+
 def link_flags(hosts: Column, final_host: Column, start_host: Column, *, status: Column, path: Column, text: Column, listed: Column, lookalike: Column, reason: Column) -> Column:
     """array<struct(signal, level)> for one followed link; brand rules are joined in separately."""
     yes = lambda c: F.coalesce(c, F.lit(False))

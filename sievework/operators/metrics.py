@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from sievework.runtime import cut
+
 
 def confusion(rows: DataFrame, label: str = "label", prediction: str = "prediction", by: list[str] | None = None, null_f1: bool = False) -> DataFrame:
     """Counts and rates for Fraud / Normal / Unknown predictions.
@@ -22,10 +24,18 @@ def confusion(rows: DataFrame, label: str = "label", prediction: str = "predicti
 
 
 def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
-    """Mann-Whitney area with half credit for ties, from counts per distinct score."""
+    """Mann-Whitney area with half credit for ties, from counts per distinct score.
+
+    Scores go to ranges in order; what lies below a score is a running sum within its range and the totals of the ranges before.
+    """
     per = rows.groupBy(F.col(score).alias("s")).agg(F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("p"), F.sum(F.when(F.col(label) == 1, 0).otherwise(1)).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return per.withColumn("below", below).agg(F.round(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0)), 6).alias("auc"))
+    ranged = cut(per.repartitionByRange("s").withColumn("range", F.spark_partition_id()))
+    before = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    totals = ranged.groupBy("range").agg(F.sum("n").alias("t")).select("range", F.coalesce(F.sum("t").over(before), F.lit(0)).alias("past"))
+    inside = F.coalesce(F.sum("n").over(Window.partitionBy("range").orderBy("s").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = ranged.withColumn("inside", inside).join(F.broadcast(totals), "range")
+    below = F.col("past") + F.col("inside") + F.col("n") / 2
+    return placed.agg(F.round(F.sum(F.col("p") * below) / F.nullif(F.sum("p") * F.sum("n"), F.lit(0)), 6).alias("auc"))
 
 
 def calibration_scores(rows: DataFrame, label: str, p: str, weight: str | None = None) -> DataFrame:
@@ -44,12 +54,23 @@ def reliability(rows: DataFrame, label: str, p: str) -> DataFrame:
     return rows.groupBy(b).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(p), 6).alias("mean_p"), F.round(F.avg(F.col(label).cast("double")), 6).alias("share"))
 
 
-def conformal_quantiles(rows: DataFrame, label: str, p: str, alpha: float = 0.1) -> DataFrame:
-    """Per class the ceil((n + 1)(1 - alpha))-th smallest nonconformity, 1 if there are not as many."""
+def conformal_quantiles(rows: DataFrame, label: str, p: str, alpha: float = 0.1, bins: int = 4096) -> DataFrame:
+    """Per class the ceil((n + 1)(1 - alpha))-th smallest nonconformity, 1 if there are not as many.
+
+    Counts per bin of the scores tell in which bin it lies; only the distinct scores of that bin are put in order.
+    """
     score = F.when(F.col(label) == 1, 1 - F.col(p)).otherwise(F.col(p))
-    ranked = rows.select(F.col(label).alias("label"), score.alias("s")).withColumn("i", F.row_number().over(Window.partitionBy("label").orderBy("s"))).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("label")))
-    at = F.ceil(F.round((F.col("n") + 1) * F.lit(1 - alpha), 9))
-    return ranked.groupBy("label").agg(F.max("n").alias("n"), F.round(F.coalesce(F.max(F.when(F.col("i") == at, F.col("s"))), F.lit(1.0)), 6).alias("q"))
+    per = rows.select(F.col(label).alias("label"), score.alias("s")).groupBy("label", "s").agg(F.count(F.lit(1)).alias("c"))
+    per = cut(per.withColumn("bin", F.floor(F.col("s") * bins)))
+    by_bin = per.groupBy("label", "bin").agg(F.sum("c").alias("b"))
+    upto = Window.partitionBy("label").orderBy("bin")  # a row per bin
+    placed = by_bin.withColumn("upto", F.sum("b").over(upto)).withColumn("n", F.sum("b").over(Window.partitionBy("label")))
+    placed = placed.withColumn("at", F.ceil(F.round((F.col("n") + 1) * F.lit(1 - alpha), 9)))
+    sizes = placed.groupBy("label").agg(F.max("n").alias("n"))
+    hit = placed.where((F.col("upto") >= F.col("at")) & (F.col("upto") - F.col("b") < F.col("at"))).select("label", "bin", (F.col("at") - F.col("upto") + F.col("b")).alias("at"))
+    run = F.sum("c").over(Window.partitionBy("label").orderBy("s"))
+    found = per.join(F.broadcast(hit), ["label", "bin"]).withColumn("run", run).where(F.col("run") >= F.col("at")).groupBy("label").agg(F.min("s").alias("q"))
+    return sizes.join(found, "label", "left").select("label", "n", F.round(F.coalesce("q", F.lit(1.0)), 6).alias("q"))
 
 
 def conformal_set(p: Column, q_fraud: Column, q_normal: Column) -> Column:
@@ -75,7 +96,7 @@ def cluster_bootstrap(partials: DataFrame, group: str, reps: int = 1000, seed: i
 
     Each group enters a replicate as often as a Poisson(1) draw of its hash says, so replicates are partial sums.
     """
-    u = F.pmod(F.xxhash64(F.lit(seed), "rep", group), F.lit(1 << 53)) / float(1 << 53)
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), "rep", group)), 1, 8), 16, 10).cast("double") / float(1 << 32)
     draw, cdf, mass = F.lit(0), 0.0, 0.36787944117144233
     for k in range(1, 9):
         cdf += mass

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from sievework.functions.text import line_key
+from sievework.functions.text import changed_share, line_key, profile_counts
 
 # Signal, pattern, weight.
 PATTERNS = {
@@ -22,7 +22,7 @@ PATTERNS = {
 }
 # A rule set for Latin-script texts, used by the queries over the driver's documents.
 LATIN_PATTERNS = {
-    "mail_contact": (r"([a-z0-9._-]+@[a-z0-9-]+\.[a-z]+)", 2.0),
+    "mail_contact": (r"((?<![a-z0-9._-])[a-z0-9._-]++@[a-z0-9-]+\.[a-z]+)", 2.0),
     "address_literal": (r"([0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3}\.[0-9]{1,3})", 1.5),
     "phone_like": (r"([0-9]{3}[- ][0-9]{3}[- ][0-9]{4})", 1.0),
     "token_assignment": (r"((?:token|password|api_key) ?[=:])", 2.0),
@@ -32,11 +32,9 @@ LATIN_PATTERNS = {
 
 def pattern_signals(text: Column, patterns: dict[str, tuple[str, float]] = PATTERNS, chars: int = 80) -> Column:
     """array<struct(signal, weight, evidence)> of the rules that match, with what they matched."""
-    items = []
-    for name, (pattern, weight) in patterns.items():
-        hit = F.regexp_extract(text, f"(?iU){pattern}", 1)
-        items.append(F.when(hit != "", F.struct(F.lit(name).alias("signal"), F.lit(weight).alias("weight"), F.substring(F.trim(hit), 1, chars).alias("evidence"))))
-    return F.filter(F.array(*items), lambda x: x.isNotNull())
+    hits = [F.struct(F.lit(name).alias("signal"), F.lit(weight).alias("weight"), F.regexp_extract(text, f"(?iU){pattern}", 1).alias("hit")) for name, (pattern, weight) in patterns.items()]
+    found = F.filter(F.array(*hits), lambda x: x["hit"] != "")
+    return F.transform(found, lambda x: F.struct(x["signal"].alias("signal"), x["weight"].alias("weight"), F.substring(F.trim(x["hit"]), 1, chars).alias("evidence")))
 
 
 def rule_score(signals: Column) -> Column:
@@ -64,3 +62,18 @@ def accepted_marks(confidence: str, image: str) -> Column:
     w = Window.partitionBy(image)
     floor = F.when(F.count(F.lit(1)).over(w) > 2, F.greatest(F.lit(0.1), F.avg(confidence).over(w) - F.stddev_samp(confidence).over(w))).otherwise(F.lit(0.0))
     return F.col(confidence) >= F.greatest(F.lit(0.3), floor)
+
+
+def account_signals(text: Column, handle: Column, simplified: str = "") -> Column:
+    """struct(signals, counts, rule_score) of a profile's text: rules, what the profile counts, its handle, its script.
+
+    Without a handle those that the text mentions are looked at; simplified lists the simplified characters.
+    """
+    said = F.coalesce(text, F.lit(""))
+    counts = profile_counts(said)
+    named = F.when(handle.isNotNull(), F.array(handle)).otherwise(F.regexp_extract_all(said, F.lit(r"(?i)@([a-z0-9_.]{3,30})"), 1))
+    odd = F.get(F.filter(named, lambda h: F.rlike(h, F.lit(r"\d{5,}"))), F.lit(0))
+    own = F.transform(profile_signals(counts["followers"], counts["posts"], odd), lambda s: F.struct(s["signal"].alias("signal"), s["weight"].alias("weight"), F.when(s["signal"] == "random_digit_handle", F.concat(F.lit("@"), odd)).otherwise(F.concat(F.lit("followers="), F.format_string("%.0f", counts["followers"]), F.when(s["signal"] == "throwaway_profile", F.concat(F.lit(", posts="), F.format_string("%.0f", F.coalesce(counts["posts"], F.lit(0.0))))).otherwise(""))).alias("evidence")))
+    script = F.filter(F.array(F.when(changed_share(said, simplified) >= 0.08, F.struct(F.lit("simplified_chinese").alias("signal"), F.lit(0.5).alias("weight"), F.lit("").alias("evidence")))), lambda s: s.isNotNull())
+    signals = F.concat(pattern_signals(said), own, script)
+    return F.struct(signals.alias("signals"), counts.alias("counts"), rule_score(signals).alias("rule_score"))

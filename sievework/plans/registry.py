@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+from math import exp, factorial
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -121,12 +124,15 @@ def platform_cap(spark, d):
     return dataset.first_n_per(table(spark, d, "documents").select("doc_id", "lang"), ["lang"], 50, [F.desc("doc_id")])
 
 
-@query()
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY md5('0|' || doc_id), doc_id) AS n FROM documents) WHERE n <= 20")
 def hash_group_cap(spark, d):
     return dataset.hash_capped(table(spark, d, "documents").select("doc_id", "source"), ["source"], 20, "doc_id")
 
 
-@query()
+@query(f"""
+WITH {LABELLED}, g AS (SELECT DISTINCT doc_id % 50 AS g, label || coalesce('/' || lang, '') AS s FROM l), n AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY md5('0|' || g), g) AS i, count(*) OVER (PARTITION BY s) AS n FROM g)
+SELECT g AS "group", arg_min(CASE WHEN i <= round_even(n * 0.6::DOUBLE, 0) THEN 'train' WHEN i <= round_even(n * 0.8::DOUBLE, 0) THEN 'calibration' ELSE 'test' END, s) AS split FROM n GROUP BY g
+""")
 def group_split(spark, d):
     g = labelled(spark, d).select((F.col("doc_id") % 50).alias("group"), F.concat_ws("/", "label", "lang").alias("stratum"))
     return dataset.stratified_split(g)
@@ -206,7 +212,16 @@ def temperature_grid(spark, d):
     return metrics.best_temperature(labelled(spark, d), "y", "p")
 
 
-@query()
+POISSON = list(accumulate(exp(-1) / factorial(k) for k in range(8)))  # shares of draws of at most 0 to 7
+
+
+@query(f"""
+WITH {LABELLED}, p AS (SELECT source, count(*) FILTER (y = 1 AND p >= 0.5) AS tp, count(*) FILTER (y = 0 AND p >= 0.5) AS fp, count(*) FILTER (y = 1 AND p < 0.5) AS fn FROM l GROUP BY source),
+u AS (SELECT *, ('0x' || substr(md5('7|' || rep || coalesce('|' || source, '')), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM p, (SELECT range AS rep FROM range(1000))),
+k AS (SELECT *, {" + ".join(f"(u > {c})::INT" for c in POISSON)} AS k FROM u),
+f AS (SELECT rep, sum(tp * k) AS tp, sum(fp * k) AS fp, sum(fn * k) AS fn FROM k GROUP BY rep), s AS (SELECT list_sort(list(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END::DOUBLE)) AS a FROM f)
+SELECT round(a[24 + 1], 6) AS low, round(a[974 + 1], 6) AS high FROM s
+""")
 def bootstrap_interval(spark, d):
     p = F.when(F.col("p") >= 0.5, "Fraud").otherwise("Normal")
     parts = metrics.confusion(labelled(spark, d).withColumn("prediction", p), by=["source"])
@@ -238,36 +253,18 @@ def char_overlap_jaccard(spark, d):
     return both.select(F.col("a.doc_id").alias("doc_id"), F.round(text.char_jaccard(F.col("a.text"), F.col("b.text")), 6).alias("overlap"))
 
 
-@query("""
-WITH RECURSIVE e AS (SELECT DISTINCT o_orderkey AS a, o_custkey AS k FROM orders WHERE o_orderkey % 7 < 3 AND o_custkey % 3 = 0),
-g AS (SELECT k, min(a) AS m FROM e GROUP BY k)
-SELECT a AS "case", min(m) AS "group" FROM e JOIN g USING (k) GROUP BY a
-""")
+@query('SELECT o_orderkey AS "case", min(o_orderkey) OVER (PARTITION BY o_custkey) AS "group" FROM orders')
 def shared_key_groups(spark, d):
-    keys = table(spark, d, "orders").where("o_orderkey % 7 < 3 AND o_custkey % 3 = 0").select(F.col("o_orderkey").alias("case"), F.col("o_custkey").alias("key"))
-    return dataset.key_groups(keys)
+    return dataset.key_groups(table(spark, d, "orders").select(F.col("o_orderkey").alias("case"), F.col("o_custkey").alias("key")))
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT l_partkey + 1000000 AS a, l_suppkey AS b FROM lineitem WHERE l_quantity >= 49 AND l_discount > 0.09),
-s AS (SELECT a AS u, b AS v FROM e UNION SELECT b, a FROM e),
-r(u, c) AS (SELECT DISTINCT u, u FROM s UNION SELECT s.u, r.c FROM r JOIN s ON s.v = r.u)
-SELECT u AS node, min(c) AS component FROM r GROUP BY u
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey + 1000000 AS a, l_suppkey AS b FROM lineitem), s AS (SELECT a AS u, b AS v FROM e UNION ALL SELECT b, a FROM e UNION ALL SELECT a, a FROM e UNION ALL SELECT b, b FROM e),
+r AS (SELECT DISTINCT u, u AS c, 0 AS i FROM s UNION ALL SELECT s.u, min(r.c), r.i + 1 FROM r JOIN s ON s.v = r.u WHERE r.i < 12 GROUP BY s.u, r.i)
+SELECT u AS node, c AS component FROM r WHERE i = 12
 """)
 def components_of_parts(spark, d):
-    e = table(spark, d, "lineitem").where("l_quantity >= 49 AND l_discount > 0.09").select((F.col("l_partkey") + 1000000).alias("src"), F.col("l_suppkey").alias("dst"))
-    return connected_components(e)
-
-
-@query()
-def shared_key_groups_whole(spark, d):
-    """shared_key_groups over all orders."""
-    return dataset.key_groups(table(spark, d, "orders").select(F.col("o_orderkey").alias("case"), F.col("o_custkey").alias("key")))
-
-
-@query()
-def components_of_parts_whole(spark, d):
-    """components_of_parts over all lines; SQL's recursive twin keeps every pair of connected nodes, which is too many here."""
+    """Parts and suppliers that lines connect. The SQL twin takes twelve steps from every node, which is beyond the width of these graphs."""
     return connected_components(table(spark, d, "lineitem").select((F.col("l_partkey") + 1000000).alias("src"), F.col("l_suppkey").alias("dst")))
 
 
@@ -369,21 +366,12 @@ def manifest_union(spark, d):
 
 
 @query("""
-WITH v AS (SELECT vec_id, [embedding[i]::DOUBLE for i in range(1, 9)] AS x FROM embeddings)
+WITH v AS (SELECT vec_id, [embedding[i]::DOUBLE for i in range(1, 65)] AS x FROM embeddings)
 SELECT vec_id, round(sqrt(list_sum([(y - 0.1) * (y - 0.1) / 0.5 for y in x])), 6) AS distance FROM v
 """)
 def ood_distance(spark, d):
     import numpy as np
 
-    v = table(spark, d, "embeddings").select("vec_id", F.transform(F.slice("embedding", 1, 8), lambda x: x.cast("double")).alias("x"))
-    return fusion.distance(v, "x", [0.1] * 8, np.eye(8).tolist(), [0.5] * 8, "d").select("vec_id", F.round("d", 6).alias("distance"))
-
-
-@query(ORACLES["ood_distance"].replace("range(1, 9)", "range(1, 65)"))
-def ood_distance_whole(spark, d):
-    """ood_distance over all 64 components of a vector."""
-    import numpy as np
-
     v = table(spark, d, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
     return fusion.distance(v, "x", [0.1] * 64, np.eye(64).tolist(), [0.5] * 64, "d").select("vec_id", F.round("d", 6).alias("distance"))
 
@@ -431,19 +419,11 @@ def resume_anti(spark, d):
 
 @query("""
 WITH s AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')), lambda x: x <> '') AS s FROM documents),
-i AS (SELECT doc_id, s, unnest(list_transform(range(least(8, len(s))), lambda i: round_even(i * (len(s) - 1) / greatest(1, least(8, len(s)) - 1), 0)::INT)) AS place FROM s WHERE len(s) > 0)
+i AS (SELECT doc_id, s, unnest(list_transform(range(least(64, len(s))), lambda i: round_even(i * (len(s) - 1) / greatest(1, least(64, len(s)) - 1), 0)::INT)) AS place FROM s WHERE len(s) > 0)
 SELECT doc_id, place, length(regexp_replace(s[place + 1], '[^0-9]', '', 'g'))::DOUBLE AS delta FROM i
 """)
 def segment_effects(spark, d):
-    """Digits as the score: what eight lines of each document carry, by leaving each out of the whole text."""
-    cases = docs(spark, d).select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("segments"))
-    scored = segments.deletions(cases, limit=8).select("id", "index", F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("score"))
-    return segments.effects(scored).select(F.col("id").alias("doc_id"), F.col("index").alias("place"), "delta")
-
-
-@query(ORACLES["segment_effects"].replace("least(8, ", "least(64, "))
-def segment_effects_whole(spark, d):
-    """segment_effects with the operator's own limit of 64 lines a document."""
+    """Digits as the score: what lines of each document carry, by leaving each out of the whole text."""
     cases = docs(spark, d).select(F.col("doc_id").alias("id"), F.split("text", "\n").alias("segments"))
     scored = segments.deletions(cases).select("id", "index", F.length(F.regexp_replace("text", "[^0-9]", "")).cast("double").alias("score"))
     return segments.effects(scored).select(F.col("id").alias("doc_id"), F.col("index").alias("place"), "delta")

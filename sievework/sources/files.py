@@ -15,9 +15,10 @@ def keyed_json_lines(spark: SparkSession, path: str, schema: StructType | str, k
     return rows.withColumn("_r", F.row_number().over(last)).where("_r = 1").drop("_f", "_b", "_n", "_r")
 
 
-def tolerant_json_lines(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
-    """JSON lines without those that do not parse."""
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+def tolerant_json_lines(spark: SparkSession, path: str, schema: StructType | str, labels: list[str] | None = None) -> DataFrame:
+    """JSON lines without those that do not parse; with labels, only rows that have one of them."""
+    rows = spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    return rows if labels is None else rows.where(F.col("label").isin(labels))
 
 
 def checked_csv(spark: SparkSession, path: str, required: list[str], encoding: str = "UTF-8") -> DataFrame:
@@ -35,7 +36,8 @@ def decoded_csv(spark: SparkSession, path: str, required: list[str], encoding: s
     import csv
 
     raw = spark.read.format("binaryFile").load(path).select("content")
-    first = bytes(raw.first()[0]).decode(encoding).splitlines()[0]
+    head = F.substring_index(F.decode(F.substring("content", 1, 1 << 16), "ISO-8859-1"), "\n", 1)  # bytes as they are: a line end is one byte in these encodings
+    first = raw.select(head.alias("h")).first()[0].encode("latin-1").decode(encoding).rstrip("\r")
     header = [c.lstrip("\ufeff") for c in next(csv.reader([first]))]
     missing = [c for c in required if c not in header]
     if missing:

@@ -39,9 +39,9 @@ def test_brands(spark):
     assert [r[0] for r in m.select(brands.brand_mismatch(F.col("t"), F.col("d"), {"Acme": ["acme.example"]}, ["t.co"])).collect()] == [["Acme"], [], []]
 
 
-@pytest.mark.parametrize("most", [100_000, 0])
+@pytest.mark.parametrize("most", [100_000, 1])
 def test_image_index_is_the_greedy_one(spark, monkeypatch, most):
-    monkeypatch.setattr(images, "MAX_NORMAL", most)
+    monkeypatch.setattr(images, "BLOCK", most)
     rng = random.Random(5)
     seeds = [(rng.getrandbits(63), rng.getrandbits(63)) for _ in range(6)]
     near = lambda h, k: h ^ sum(1 << b for b in rng.sample(range(63), k))

@@ -21,7 +21,7 @@ def components(edges):
 
 def test_components_of_all_parts(spark):
     lines = registry.table(spark, DATA, "lineitem").select("l_partkey", "l_suppkey").collect()
-    got = registry.QUERIES["components_of_parts_whole"](spark, DATA).collect()
+    got = registry.QUERIES["components_of_parts"](spark, DATA).collect()
     want = components((r.l_partkey + 1000000, r.l_suppkey) for r in lines)
     assert len(got) == len(want) and {r.node: r.component for r in got} == want
 
@@ -30,5 +30,5 @@ def test_groups_of_all_orders(spark):
     least, orders = {}, registry.table(spark, DATA, "orders").select("o_orderkey", "o_custkey").collect()
     for r in orders:
         least[r.o_custkey] = min(least.get(r.o_custkey, r.o_orderkey), r.o_orderkey)
-    got = registry.QUERIES["shared_key_groups_whole"](spark, DATA).collect()
+    got = registry.QUERIES["shared_key_groups"](spark, DATA).collect()
     assert len(got) == len(orders) and {r["case"]: r["group"] for r in got} == {r.o_orderkey: least[r.o_custkey] for r in orders}
