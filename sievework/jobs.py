@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import urls
 from sievework.functions.text import nfkc, shingles, word_key
+from sievework.models.training import score_corpus, train_scorer
 from sievework.operators import dataset, experiment, parsing, review, similarity
 from sievework.operators.evidence import decide, read_model
 from sievework.runtime import cut, session
@@ -108,6 +109,16 @@ def review_job(spark: SparkSession, a: argparse.Namespace) -> None:
     print(review.build_corpus(queue, a.output), "rows")
 
 
+def train_job(spark: SparkSession, a: argparse.Namespace) -> None:
+    """Train the default scorer on a reviewed corpus, and score the corpus with it."""
+    rows = spark.read.json(a.corpus, schema="case_id string, group_id string, split string, label string, label_source string, reviewer string, source_url string, texts map<string,string>")
+    text = F.array_join(F.map_values("texts"), "\n")
+    scorer, report = train_scorer(rows.withColumn("text", text))
+    manifest, provenance = score_corpus(rows, scorer)
+    manifest.write.mode("errorifexists").json(f"{a.output}/manifest")
+    write_document({"training": report, "provenance": provenance}, f"{a.output}/provenance.json")
+
+
 def metrics_job(spark: SparkSession, a: argparse.Namespace) -> None:
     experiment.method_metrics(spark.read.parquet(a.predictions), a.methods).write.mode("overwrite").json(a.output)
 
@@ -125,6 +136,7 @@ JOBS = {
     "domains": (domains_job, {"hosts": ..., "blocklist": None, "output": ...}),
     "decide": (decide_job, {"features": ..., "model": ..., "output": ...}),
     "review": (review_job, {"queue": ..., "reviews": ..., "output": ...}),
+    "train": (train_job, {"corpus": ..., "output": ...}),
     "metrics": (metrics_job, {"predictions": ..., "methods": [], "output": ...}),
     "scenarios": (scenarios_job, {"reports": ...}),
 }

@@ -19,6 +19,36 @@ INCOMPLETE = {
     "OCR_ERROR": "OCR 執行失敗，風險維持 Unknown；請查看報告中的 image_analysis.message。",
 }
 NO_EVIDENCE = "目前沒有足夠有效證據形成結論，風險維持 Unknown。"
+# What a feature is called.
+FEATURE_LABELS = {
+    "text_logit": "MacBERT（帳號文字）",
+    "ocr_logit": "MacBERT（圖片內文字）",
+    "text_missing": "沒有可用帳號文字",
+    "ocr_missing": "沒有圖片內文字",
+    "off_platform_contact": "引導站外聯絡",
+    "short_link": "短網址",
+    "guaranteed_return": "保證獲利／高報酬",
+    "investment_lure": "投資招攬用語",
+    "crypto_or_payment": "匯款／虛擬貨幣",
+    "urgency": "急迫用語",
+    "free_giveaway": "免費贈送／中獎",
+    "job_lure": "輕鬆高薪兼職",
+    "impersonation_claim": "提及官方或機構",
+    "verified_badge": "已驗證標章",
+    "throwaway_profile": "低粉絲新帳號",
+    "large_audience": "大量粉絲",
+    "random_digit_handle": "隨機數字帳號名",
+    "simplified_chinese": "簡體字比例高",
+    "llm_tactic_count": "LLM 抽出的詐騙手法數",
+    "llm_solicitation": "LLM：招攬讀者",
+    "llm_addresses_reader": "LLM：直接對讀者喊話",
+    "llm_risk": "LLM 證據風險等級",
+    "llm_benign_act": "LLM：討論／新聞／分享",
+    "llm_missing": "LLM 未執行",
+    "image_known_scam_match": "與已確認詐騙圖片相似",
+    "image_brand_mismatch": "品牌名稱與網域不符",
+    "image_editor_tag": "圖片含編修軟體標記",
+}
 MAX_SHOWN = 1000
 
 
@@ -57,6 +87,12 @@ def strength(contribution: Column) -> Column:
     return F.when(size >= 1.5, "strong").when(size >= 0.5, "medium").otherwise("weak")
 
 
+def top_reasons(contributions: Column, n: int = 3) -> Column:
+    """array<struct(label, value, strength)> of the first contributions, as a report names them."""
+    labels = F.create_map(*[F.lit(x) for pair in FEATURE_LABELS.items() for x in pair])
+    return F.transform(F.slice(contributions, 1, n), lambda c: F.struct(F.coalesce(F.try_element_at(labels, c["name"]), c["name"]).alias("label"), c["value"].alias("value"), strength(c["value"]).alias("strength")))
+
+
 def percent_region(boxes: Column, width: Column, height: Column) -> Column:
     """struct(left, top, width, height) in percent of the hull of [left, top, right, bottom] boxes; null if it has no area."""
     edge = lambda i, pick: pick(F.transform(boxes, lambda b: b[i]))

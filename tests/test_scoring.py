@@ -155,3 +155,18 @@ def test_folders_are_removed(spark):
     path = kept.inputFiles()[0].removeprefix("file://").rsplit("/", 1)[0]
     assert kept.count() == 5 and os.path.isdir(path) and folder != path
     assert clean_up(spark) == 2 and not os.path.exists(path)
+
+
+def test_training_job(spark, tmp_path):
+    rng = random.Random(5)
+    good, bad = ["meeting notes for monday", "the weather is fine", "read this book"], ["send money to win a prize", "guaranteed profit today", "transfer cash now"]
+    rows = [{"case_id": f"c{i}", "group_id": f"g{i // 2}", "split": ["train", "train", "calibration", "test"][i // 4 % 4], "label": "Fraud" if i % 2 else "Normal", "label_source": "s", "reviewer": "r", "source_url": "u", "texts": {"dom": " ".join(rng.choices(bad if i % 2 else good, k=3))}} for i in range(64)]
+    (tmp_path / "c.json").write_text("\n".join(json.dumps(r) for r in rows))
+    jobs.main(["train", "--corpus", str(tmp_path / "c.json"), "--output", str(tmp_path / "out")])
+    made = spark.read.json(str(tmp_path / "out" / "manifest")).collect()
+    assert len(made) == 64 and sum(r.result.prediction == r.label for r in made) >= 60
+    report = json.loads((tmp_path / "out" / "provenance.json").read_text())
+    assert report["provenance"]["cases"] == 64 and set(report["training"]["losses"]) == {"0.1", "1.0", "10.0"}
+    (tmp_path / "d.json").write_text("\n".join(json.dumps(dict(r, label="Fraud")) for r in rows))
+    with pytest.raises(ValueError):
+        jobs.main(["train", "--corpus", str(tmp_path / "d.json"), "--output", str(tmp_path / "out2")])
