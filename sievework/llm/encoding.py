@@ -83,6 +83,13 @@ class ChunkEncoder:
                 known[""] = b""
 
 
+def pieces(batches, rows: int = 512):
+    """Arrow batches in pieces of so many rows, so that few texts are held as Python strings."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def slices(texts: list[str | None], chars: int = 1_000_000):
     """Runs of rows of about so many characters, to bound what is held at once."""
     start = held = 0

@@ -23,6 +23,8 @@ from html.parser import HTMLParser
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm.encoding import pieces
+
 MAX_INDENT, MAX_TABLES, PADDING = 80, 8, 8
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 UNSEEN = {"head", "script", "style", "template", "noscript", "title", "meta", "link", "iframe", "object", "svg", "canvas", "audio", "video", "datalist", "colgroup", "col"}
@@ -412,7 +414,7 @@ def extract(pages: DataFrame) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in pieces(batches):
             texts = [render(x) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(texts, pa.string())], names=["page_id", "text"])
 

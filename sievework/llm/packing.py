@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.encoding import encoder, slices
+from sievework.llm.encoding import encoder, pieces, slices
 from sievework.runtime import cut
 
 MAX_SLOTS = 200_000
@@ -34,7 +34,7 @@ def token_pieces(docs: DataFrame, vocabulary: str, *, end_id: int = 2, seq_len:
 
         enc, task, end = encoder(vocabulary, keep_space), TaskContext.get().partitionId(), int(end_id).to_bytes(4, "little")
         ranks = [0] * (seq_len + 1)
-        for batch in batches:
+        for batch in pieces(batches):
             keys, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for a, b in slices(texts):
                 rows = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "task_rank", "ids")}

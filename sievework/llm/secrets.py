@@ -20,6 +20,8 @@ from itertools import accumulate
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sievework.llm.encoding import pieces
+
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")  # a shorter run has no later start that is long enough
 HEX = re.compile(r"[0-9a-f]{32,}")
@@ -172,7 +174,7 @@ def scan(docs: DataFrame) -> DataFrame:
         import pyarrow as pa
 
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in pieces(batches):
             found = [[{"kind": k, "start": a, "end": b} for k, a, b in all_spans(t or "")] for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(found, kind)], names=["doc_id", "spans"])
 

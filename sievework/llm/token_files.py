@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.llm.encoding import encoder, slices
+from sievework.llm.encoding import encoder, pieces, slices
 from sievework.runtime import cut, new_folder
 
 BATCH = 256
@@ -64,7 +64,7 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, *, end_id:
             writers[0].write_batch(pa.record_batch([pa.FixedSizeListArray.from_arrays(ids, seq_len), pa.FixedSizeListArray.from_arrays(pa.array(mask), seq_len)], names=["ids", "mask"]))
 
         held, total, n_docs, full = bytearray(), 0, 0, BATCH * seq_len * 4
-        for batch in batches:
+        for batch in pieces(batches):
             keys, texts = batch.column(0), batch.column(1).to_pylist()
             for a, b in slices(texts):
                 if not writers:
