@@ -10,7 +10,7 @@ is many groups until it is rendered into its one row; equal conversations and pr
 before anything is joined, so a common opening is one row.
 
 Rows: turns are ordered by turn, nulls first, those of one number by a hash of role and text, the same in every run; a null role or text counts as empty; repeated rows are
-turns of their own; rows with a null conv_id are one conversation; other columns are ignored; an empty table gives
+turns of their own; rows with a null conv_id are one conversation; turns of one number are one bucket, however many; other columns are ignored; an empty table gives
 an empty result.
 """
 
@@ -20,39 +20,38 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sievework.runtime import cut
+from sievework.runtime import cut, stored
 
 BUCKET = 1024
 TEMPLATE = ("<|im_start|>", "\n", "<|im_end|>\n")
 
 
 def prefix_hashes(turns: DataFrame) -> DataFrame:
-    """(conv_id, k, x1, x2): the hash of the first k turns, for each turn of each conversation."""
+    """(conv_id, k, n, x1, x2): the hash of the first k of a conversation's n turns, for each k.
+
+    Turns are dealt once, by conversation and bucket; what the buckets before hold is summed from one row a bucket.
+    """
     role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
-    rows = turns.select("conv_id", F.floor(F.col("turn") / BUCKET).alias("b"), "turn", F.xxhash64(role, text).alias("h1"), F.xxhash64(F.lit(7), text, role).alias("h2"), F.md5(F.concat_ws("\x1f", role, text)).alias("tie"))
-    counts = rows.groupBy("conv_id", "b").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("conv_id").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("conv_id", "b", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("at"))
-    same = lambda a, b: a["conv_id"].eqNullSafe(b["conv_id"]) & a["b"].eqNullSafe(b["b"])
-    r, s = rows.alias("r"), starts.alias("s")
-    inside = Window.partitionBy("conv_id", "b").orderBy("turn", "tie")
-    placed = r.join(s, same({c: F.col(f"r.{c}") for c in ("conv_id", "b")}, {c: F.col(f"s.{c}") for c in ("conv_id", "b")})).select("r.*", "s.at")
-    placed = cut(placed.withColumn("k", F.col("at") + F.row_number().over(inside)).select("conv_id", "b", "k", F.xxhash64("k", "h1").alias("y1"), F.xxhash64("k", "h2").alias("y2")))
-    totals = placed.groupBy("conv_id", "b").agg(F.bit_xor("y1").alias("t1"), F.bit_xor("y2").alias("t2"))
-    past = totals.select("conv_id", "b", F.coalesce(F.bit_xor("t1").over(before), F.lit(0)).alias("p1"), F.coalesce(F.bit_xor("t2").over(before), F.lit(0)).alias("p2"))
-    p, q = placed.alias("r"), past.alias("s")
-    run = Window.partitionBy("conv_id", "b").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
-    joined = p.join(q, same({c: F.col(f"r.{c}") for c in ("conv_id", "b")}, {c: F.col(f"s.{c}") for c in ("conv_id", "b")})).select("r.*", "s.p1", "s.p2")
-    return joined.select("conv_id", "k", F.col("p1").bitwiseXOR(F.bit_xor("y1").over(run)).alias("x1"), F.col("p2").bitwiseXOR(F.bit_xor("y2").over(run)).alias("x2"))
+    key = ["c", "b"]  # a struct, so that a null conv_id is a key like others
+    dealt = turns.select(F.struct("conv_id").alias("c"), F.coalesce(F.floor(F.col("turn") / BUCKET), F.lit(-(1 << 62))).alias("b"), "turn", F.xxhash64(role, text).alias("h1"), F.xxhash64(F.lit(7), text, role).alias("h2"), F.md5(F.concat_ws("\x1f", role, text)).alias("tie")).repartition(*key)
+    before = Window.partitionBy("c").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = dealt.groupBy(*key).agg(F.count(F.lit(1)).alias("m"))
+    starts = sizes.select(*key, F.coalesce(F.sum("m").over(before), F.lit(0)).alias("at"), F.sum("m").over(Window.partitionBy("c")).alias("n"))
+    inside = Window.partitionBy(*key).orderBy("turn", "tie")
+    placed = dealt.join(starts, key).withColumn("k", F.col("at") + F.row_number().over(inside))
+    placed = placed.select(*key, "k", "n", F.xxhash64("k", "h1").alias("y1"), F.xxhash64("k", "h2").alias("y2"))
+    totals = placed.groupBy(*key).agg(F.bit_xor("y1").alias("t1"), F.bit_xor("y2").alias("t2"))
+    past = totals.select(*key, F.coalesce(F.bit_xor("t1").over(before), F.lit(0)).alias("p1"), F.coalesce(F.bit_xor("t2").over(before), F.lit(0)).alias("p2"))
+    run = Window.partitionBy(*key).orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    joined = placed.join(past, key)
+    return joined.select(F.col("c.conv_id").alias("conv_id"), "k", "n", F.col("p1").bitwiseXOR(F.bit_xor("y1").over(run)).alias("x1"), F.col("p2").bitwiseXOR(F.bit_xor("y2").over(run)).alias("x2"))
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies) of conversations that no other one extends; n_copies counts equal ones."""
-    hashes = cut(prefix_hashes(turns))
-    whole = hashes.groupBy("conv_id").agg(F.max(F.struct("k", "x1", "x2")).alias("w")).select("conv_id", "w.*")
-    distinct = whole.groupBy("k", "x1", "x2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
-    ends = whole.select(F.col("conv_id").alias("c"), F.col("k").alias("n"))
-    inner = hashes.join(ends, F.col("conv_id").eqNullSafe(F.col("c"))).where("k < n").groupBy("k", "x1", "x2").agg(F.lit(1).alias("seen"))
+    hashes = stored(prefix_hashes(turns), "prefixes")
+    distinct = hashes.where("k = n").groupBy("k", "x1", "x2").agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
+    inner = hashes.where("k < n").select("k", "x1", "x2").distinct()
     return distinct.join(inner, ["k", "x1", "x2"], "left_anti").select("conv_id", F.col("k").alias("n_turns"), "n_copies")
 
 
