@@ -198,6 +198,16 @@ def account_evidence(spark, d):
     return s.select("doc_id", has("throwaway_profile").alias("throwaway"), has("random_digit_handle").alias("random_handle"), has("simplified_chinese").alias("simplified"), F.round("s.rule_score", 6).alias("rule_score"))
 
 
+PHRASES = ["LINE id: abcd1234", "see bit.ly", "保證獲利", "飆股", "USDT", "名額有限", "抽獎", "按讚賺", "金管會", "Verified"]
+
+
+@query("SELECT doc_id, (['" + "', '".join(signals.PATTERNS) + "'])[(doc_id % 10 + 1)::INT] AS signal, ([" + ", ".join(str(w) for _, w in signals.PATTERNS.values()) + "])[(doc_id % 10 + 1)::INT]::DOUBLE AS weight, (['" + "', '".join(PHRASES).replace("see bit.ly", "bit.ly") + "'])[(doc_id % 10 + 1)::INT] AS evidence FROM documents")
+def account_rules(spark, d):
+    """Each of the ten rules over a text that breaks one of them."""
+    said = F.concat(F.lit("text "), F.translate(F.col("doc_id").cast("string"), "0123456789", "bcdfghjkmn"), F.lit(" :: "), F.get(F.array(*[F.lit(p) for p in PHRASES]), (F.col("doc_id") % 10).cast("int")), F.lit(" ."))
+    return table(spark, d, "documents").select("doc_id", F.explode(signals.pattern_signals(said)).alias("s")).select("doc_id", "s.*")
+
+
 @query("""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS at, unnest(string_split(text, chr(10))) AS raw FROM documents WHERE text IS NOT NULL),
 t AS (SELECT doc_id, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS line FROM l),

@@ -311,9 +311,9 @@ def chat_windows(spark, d):
     return dataset.chat_windows(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
-@query(f"WITH {LABELLED}, s AS (SELECT source, CASE WHEN doc_id % 10 < 6 THEN 'train' ELSE 'test' END AS split FROM l) SELECT source, count(DISTINCT split) AS splits FROM s GROUP BY source HAVING count(DISTINCT split) > 1")
+@query(f"WITH {LABELLED}, s AS (SELECT source, CASE WHEN doc_id % 7 < 4 OR source = 'web' THEN 'train' ELSE 'test' END AS split FROM l) SELECT source, count(DISTINCT split) AS splits FROM s GROUP BY source HAVING count(DISTINCT split) > 1")
 def leakage_violations(spark, d):
-    return dataset.leaks(labelled(spark, d).withColumn("split", F.when(F.col("doc_id") % 10 < 6, "train").otherwise("test")), "source")
+    return dataset.leaks(labelled(spark, d).withColumn("split", F.when((F.col("doc_id") % 7 < 4) | (F.col("source") == "web"), "train").otherwise("test")), "source")
 
 
 @query(f"WITH {LABELLED}, x AS (SELECT doc_id, greatest(-8.0, least(8.0, ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))))) / 4 AS a, least(doc_id % 7, 4) / 2 AS b FROM l) SELECT doc_id, round(1 / (1 + exp(-(0.9 * a + 0.4 * b - 0.3))), 6) AS score FROM x")

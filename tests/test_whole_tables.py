@@ -1,5 +1,7 @@
 """Queries over whole tables against brute force."""
 
+import random
+
 from sievework.plans import registry
 
 DATA = "/root/testdata/sf0.001"
@@ -19,6 +21,17 @@ def components(edges):
     return {x: root(x) for x in label}
 
 
+def test_components_with_hubs(spark, monkeypatch):
+    from sievework.operators import components as module
+
+    monkeypatch.setattr(module, "HUB", 20)
+    rng = random.Random(4)
+    edges = [(0, i) for i in range(1, 200)] + [(500 + rng.randrange(60), 500 + rng.randrange(60)) for _ in range(70)] + [(9, None), (900, 900)]
+    got = module.connected_components(spark.createDataFrame(edges, "src long, dst long")).collect()
+    want = components((a, b) for a, b in edges if b is not None and a != b)
+    assert len(got) == len(want) and {r.node: r.component for r in got} == want
+
+
 def test_components_of_all_parts(spark):
     lines = registry.table(spark, DATA, "lineitem").select("l_partkey", "l_suppkey").collect()
     got = registry.QUERIES["components_of_parts"](spark, DATA).collect()
