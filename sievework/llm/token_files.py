@@ -30,10 +30,11 @@ DOCS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 def write_token_files(docs: DataFrame, vocabulary: str, folder: str, *, end_id: int = 2, seq_len: int = 2048, keep_space: bool = False) -> DataFrame:
     """Encode whole texts, append end_id, and write the stream in ascending doc_id order; returns the manifest.
 
-    Documents are dealt by ranges of doc_id, so parts follow each other in order and none holds more than its
-    share. A task streams its rows into a file of its own name and moves it into place when complete: a task
-    run again after a lost executor replaces it with the same bytes.
+    Documents are dealt by ranges of doc_id and text hash, so parts follow each other in order and none holds more than
+    its share, even of rows without an id. A task streams its rows into a file of its own name and moves it into place when
+    complete: a task run again after a lost executor replaces it with the same bytes, and what it had begun is removed.
     """
+    from pyarrow import fs
 
     def write(batches):
         import os
@@ -93,8 +94,13 @@ def write_token_files(docs: DataFrame, vocabulary: str, folder: str, *, end_id:
             store.move(temp + suffix, f"{root}/{name}{suffix}")
         yield pa.RecordBatch.from_pydict({"part": [part], "file": [name], "n_docs": [n_docs], "n_tokens": [total]})
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return cut(ordered.mapInArrow(write, MANIFEST))
+    order = ["doc_id", F.xxhash64("text")]
+    manifest = cut(docs.select("doc_id", "text").repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, MANIFEST))
+    store, root = fs.FileSystem.from_uri(folder)
+    for left in store.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+        if left.base_name.startswith("."):  # of attempts that did not end
+            store.delete_file(left.path)
+    return manifest
 
 
 def read_token_files(manifest: DataFrame, folder: str) -> DataFrame:
