@@ -170,3 +170,45 @@ def test_training_job(spark, tmp_path):
     (tmp_path / "d.json").write_text("\n".join(json.dumps(dict(r, label="Fraud")) for r in rows))
     with pytest.raises(ValueError):
         jobs.main(["train", "--corpus", str(tmp_path / "d.json"), "--output", str(tmp_path / "out2")])
+
+
+def test_reports_replies_and_choices(spark, tmp_path):
+    from sievework.operators import parsing, reports
+    from sievework.sources import files
+
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r/a.json").write_text('{"level": "High"}')
+    (tmp_path / "r/b.json").write_text("broken")
+    documents = files.json_documents(spark, str(tmp_path / "r"), "level string")
+    cases = spark.createDataFrame([("1", "reports/a.json"), ("2", "reports/b.json"), ("3", "c.json")], "case_id string, report_path string")
+    got = {r.case_id: r.doc and r.doc.level for r in experiment.reports_of(cases, documents).collect()}
+    assert got == {"1": "High", "2": None, "3": None}
+    page = '<span class="f3 push-content">: good <b>idea</b></span><span class="f3 push-content">: see &lt;this&gt; http://x</span>'
+    replies = parsing.reply_lines(spark.createDataFrame([("p", page)], "post string, html string"), "post", "html").orderBy("order").collect()
+    assert [r.text for r in replies] == ["good idea", "see <this> http://x"]
+    one = lambda c, *v, schema: spark.createDataFrame([v], schema).coalesce(1).select(c).first()[0]
+    top = one(reports.top_reasons(F.col("c"), 2), [("text_logit", 1.7), ("unheard_of", -0.6), ("urgency", 0.1)], schema="c array<struct<name:string,value:double>>")
+    assert [(x.label, x.strength) for x in top] == [("MacBERT（帳號文字）", "strong"), ("unheard_of", "medium")]
+    view = "struct<text:string,viewport:struct<width:int>,items:array<string>,truncated:boolean>"
+    states = [(("t", (9,), ["a"], False), ("t", (9,), ["a"], None), True), (("t", (9,), ["a"], False), ("t", (9,), ["b"], False), False), (("t", (9,), None, True), ("t", (9,), None, False), False)]
+    df = spark.createDataFrame(states, f"a {view}, b {view}, want boolean")
+    assert all(r[0] == r.want for r in df.select(screen.stable_viewport(F.col("a"), F.col("b")), "want").collect())
+    assert evidence.choose_model("m", "m", str(tmp_path / "none"), "w2", "w1") == ("m", "w1")
+    (tmp_path / "adapted").mkdir()
+    (tmp_path / "adapted/config.json").write_text("{}")
+    (tmp_path / "w2.json").write_text("{}")
+    chosen = (str(tmp_path / "adapted"), str(tmp_path / "w2.json"))
+    assert evidence.choose_model("m", "m", *chosen, "w1") == chosen and evidence.choose_model("other", "m", *chosen, "w1") == ("other", "w1")
+    (tmp_path / "l.json").write_text('{"id":"1","label":"Fraud"}\n{"id":"2","label":"Odd"}\nbroken\n')
+    assert files.tolerant_json_lines(spark, str(tmp_path / "l.json"), "id string, label string", ["Fraud", "Normal"]).count() == 1
+
+
+def test_decisions_fall_back_to_the_agreement(spark):
+    model = {"feature_names": evidence.feature_names(["text"]), "weights": [2.0, 0.0], "bias": 0.0, "conformal": {"q_fraud": 0.6, "q_normal": 0.6}}
+    rows = [(("SUCCESS", "Fraud", 0.95, None), ("Unknown", "modality_conflict")), (("FAILED", None, None, None), ("Normal", "modalities_agree"))]
+    df = spark.createDataFrame(rows, f"t {evidence.MODEL_RESULT}, a struct<prediction:string,basis:string>").withColumn("o", F.lit(None).cast(evidence.MODEL_RESULT))
+    none = F.lit(None).cast("array<string>"), F.lit(None).cast("array<double>"), F.lit(None).cast("array<int>")
+    for fitted, want in ((model, [("Fraud", "conformal_singleton"), ("Normal", "modalities_agree")]), (None, [r[1] for r in rows])):
+        got = df.select(evidence.decide_content(F.col("t"), F.col("o"), *none, F.col("a"), fitted).alias("d")).collect()
+        assert [(r.d.prediction, r.d.basis) for r in got] == want
+    assert evidence.sign_bounds(["urgency", "llm_missing", "large_audience"]) == (["urgency"], ["large_audience"])
