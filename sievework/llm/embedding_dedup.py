@@ -1,6 +1,7 @@
 """Embedding near-duplicates by an inverted multi-index.
 
-Vectors are scaled to length one in double precision; equal vectors are one class with a key of its own. Two
+Vectors are scaled to length one in double precision where they are compared, and moved as they came; equal vectors
+are one class with a key of its own. Two
 codebooks, one per half of the vector, are fitted on a bounded sample of each length; a vector's home is the cell
 of its nearest centroid in each. A vector then visits further cells of the product grid in order of the sum of its
 two half distances (multi-sequence order). How many is calibrated per query vector, not per pair: as many as
@@ -37,15 +38,22 @@ BLOCK = 1_024
 MAX_SIZES = 1_000_000  # cells; more are joined instead of broadcast
 
 
-def _unit(raw: bytes, dim: int):
+def _unit(raw: list[bytes], dim: int):
+    """Unit vectors in double precision (rows, dim) from stored ones, which are little-endian floats where those are exact, else doubles."""
     import numpy as np
 
-    v = np.frombuffer(raw, "<f8").reshape(-1, dim)
-    return v
+    size = np.array([len(r) for r in raw])
+    v = np.empty((len(raw), dim))
+    for kind, width in (("<f4", 4 * dim), ("<f8", 8 * dim)):
+        rows = np.flatnonzero(size == width)
+        if len(rows):
+            v[rows] = np.frombuffer(b"".join(raw[i] for i in rows), kind).reshape(-1, dim)
+    v /= np.abs(v).max(1)[:, None]
+    return v / np.sqrt((v * v).sum(1))[:, None]
 
 
 def clean_vectors(vectors: DataFrame) -> DataFrame:
-    """(vec_id, dim, v): v holds the unit vector as little-endian doubles, null where it links with nothing."""
+    """(vec_id, dim, v): v holds the vector as little-endian floats, or doubles if floats lose of it; null where it links with nothing."""
 
     def run(batches):
         import numpy as np
@@ -66,10 +74,12 @@ def clean_vectors(vectors: DataFrame) -> DataFrame:
                 v = x[at[rows][:, None] + np.arange(dim)]
                 big = np.abs(v).max(1)
                 sound = np.isfinite(big) & (big > 0)
-                rows, v = rows[sound], v[sound] / big[sound][:, None]
-                v = (v / np.sqrt((v * v).sum(1))[:, None]).astype("<f8")
+                rows, v = rows[sound], v[sound].astype("<f8")
+                with np.errstate(over="ignore"):
+                    short = v.astype("<f4")
+                exact = (short == v).all(1)
                 dims[rows] = dim
-                out[rows] = [r.tobytes() for r in v]
+                out[rows] = [(short if e else v)[i].tobytes() for i, e in enumerate(exact.tolist())]
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(dims), pa.array(out, pa.binary())], names=["vec_id", "dim", "v"])
 
     return vectors.select(F.col("vec_id").cast("long"), "embedding").mapInArrow(run, "vec_id long, dim int, v binary")
@@ -153,7 +163,7 @@ def neighbour_ranks(classes: DataFrame, index: dict, queries: dict, threshold: f
             for dim in np.unique(dims).tolist():
                 if dim not in queries:
                     continue
-                v = _unit(b"".join(batch.column("v").filter(pa.array(dims == dim)).to_pylist()), dim)
+                v = _unit(batch.column("v").filter(pa.array(dims == dim)).to_pylist(), dim)
                 q = queries[dim]
                 near = (q @ v.T >= threshold) & ~(q @ v.T >= 1 - 1e-12)
                 a, b = np.nonzero(near & (np.cumsum(near, 1) <= PER_BATCH))
@@ -185,7 +195,7 @@ def build_index(classes: DataFrame, threshold: float, target_recall: float) -> d
         most = min(SAMPLE, SAMPLE_BYTES // (8 * dim * len(counts)))
         every = max(1, n // max(1, most))
         rows = classes.where((F.col("dim") == dim) & (F.pmod(F.xxhash64("v"), F.lit(every)) == 0)).select("v").limit(2 * most).collect() if n >= 256 and dim >= 4 else []
-        sample = _unit(b"".join(sorted(r[0] for r in rows)), dim) if len(rows) >= 256 else []
+        sample = _unit(sorted(r[0] for r in rows), dim) if len(rows) >= 256 else []
         codes = int(np.clip(round((n / 256) ** 0.5), 4, min(MAX_CODES, max(4, len(sample) // 16))))
         while len(sample) and codes >= 4:
             books = fit_codes(sample[::2], codes)
@@ -222,7 +232,7 @@ def embedding_links(classes: DataFrame, *, threshold: float, target_recall: floa
                 m = rows.num_rows
                 if dim in index:
                     codes, cells, _ = index[dim]
-                    v = _unit(b"".join(rows.column("v").to_pylist()), dim)
+                    v = _unit(rows.column("v").to_pylist(), dim)
                     found = np.concatenate([nearest_cells(*half_distances(v[a : a + BLOCK], codes), cells) for a in range(0, m, BLOCK)]).astype(np.int32)
                 else:
                     found = np.full((m, 1), -1, np.int32)
@@ -258,7 +268,7 @@ def embedding_links(classes: DataFrame, *, threshold: float, target_recall: floa
         chunk = table.column("chunk").to_numpy()
         order = np.argsort(chunk, kind="stable")
         table, chunk = table.take(pa.array(order)), chunk[order]
-        v = _unit(b"".join(table.column("v").to_pylist()), dim)
+        v = _unit(table.column("v").to_pylist(), dim)
         rep, n = table.column("rep").to_numpy(), table.column("n").to_numpy()
         links, forest = np.zeros(len(rep), np.int64), Forest(len(rep))
         n_visit = int(np.searchsorted(chunk, 0))
