@@ -85,9 +85,12 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return starts.groupBy("rank").agg(F.expr("transform(sort_array(collect_list(struct(node, at))), x -> x.at)").alias("offsets"))
 
 
-def plan_mix(docs: DataFrame, *, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, seed: int = 17, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """docs with size, source_size, target, taken and draws: array of (copy, shard, words), one for each time it is taken."""
-    keep = [c for c in docs.columns if c not in ADDED]
+def plan_mix(docs: DataFrame, *, columns: list[str] | None = None, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, limit: int = 2, seed: int = 17, block_words: int = BLOCK_WORDS, shard_words: int = SHARD_WORDS) -> DataFrame:
+    """docs with size, source_size, target, taken and draws: array of (copy, shard, words), one for each time it is taken.
+
+    columns are those of docs to carry along, all by default.
+    """
+    keep = [c for c in columns or docs.columns if c not in ADDED]
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in keep]).alias("row"), "source", size.alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_h"), F.col("doc_id").alias("_id"))
     buckets = min(65_536, max(16, math.isqrt(docs.count())))

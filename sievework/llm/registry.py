@@ -11,7 +11,7 @@ from sievework.runtime import spread, table
 
 
 def op1_source_mix(spark, sf_dir):
-    out = mixing.plan_mix(spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "text"))
+    out = mixing.plan_mix(spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "text"), columns=["doc_id"])
     return out.select("doc_id", "size", "source_size", "target", "taken", F.transform("draws", lambda x: x["shard"]).alias("shards"))
 
 
@@ -58,7 +58,7 @@ def pipeline(spark, sf_dir):
 
 def mix_targets(spark, sf_dir):
     """What op1 plans for each document's source, which SQL can say too."""
-    out = mixing.plan_mix(spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "text"))
+    out = mixing.plan_mix(spread(table(spark, sf_dir, "documents")).select("doc_id", "source", "text"), columns=["doc_id"])
     return out.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"))
 
 
