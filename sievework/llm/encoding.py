@@ -3,7 +3,8 @@
 Both supported pre-tokenizers start a new piece at a space that a non-space follows, so a text cut there
 encodes to the concatenation of its chunks' ids. Chunks repeat a lot; the library sees each one once per
 worker (the cache is emptied at CACHE_ENTRIES chunks, long chunks are not kept), and a document is a join of
-cached id strings.
+cached id strings. New chunks go to the library many in a text, and their ids are parted where a piece with a space
+begins, or at a comma put between them; where the parts are not as many as the chunks, one by one.
 """
 
 from __future__ import annotations
@@ -12,9 +13,14 @@ import os
 import re
 import struct
 
+import numpy as np
+
 CACHE_ENTRIES = 1_200_000
 CACHE_CHARS = 48
+JOINED = 2_048
 _CUT = re.compile(r" (?=\S)")
+_GAP = re.compile(r" \s")
+_SPACE = re.compile(r"\s")
 _ENCODERS: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
 
@@ -50,29 +56,62 @@ class ChunkEncoder:
         self.first: dict[str, bytes] = {"": b""}
         self.rest: dict[str, bytes] = {"": b""}
         self.long: list[tuple[dict[str, bytes], str]] = []
+        if keep_space:  # ids of pieces that begin with a space, which byte-level vocabularies write as this letter
+            self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+            self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
+        else:
+            comma = self.tokenizer.encode(",", add_special_tokens=False).ids
+            self.comma = comma[0] if len(comma) == 1 else -1
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
+        cut = [self._cut(t or "") for t in texts]
+        heads = [b""] * len(cut)
         if self.keep_space:
-            cut = [_CUT.split(t or "") for t in texts]
             self._learn(self.first, {c[0] for c in cut}, "")
-            self._learn(self.rest, {x for c in cut for x in c[1:]}, " ")
-            rest = self.rest.__getitem__
-            out = [self.first[c[0]] + b"".join(map(rest, c[1:])) for c in cut]
-        else:
-            cut = [(t or "").split(" ") for t in texts]
-            self._learn(self.rest, {x for c in cut for x in c}, "")
-            rest = self.rest.__getitem__
-            out = [b"".join(map(rest, c)) for c in cut]
+            heads = [self.first[c[0]] for c in cut]
+            for c in cut:
+                c[0] = ""
+        chunks: set[str] = set()
+        for c in cut:
+            chunks.update(c)
+        self._learn(self.rest, chunks, " " if self.keep_space else "")
+        known = self.rest.__getitem__
+        out = [head + b"".join(map(known, c)) for head, c in zip(heads, cut)]
         self._trim()
         return out
 
+    def _cut(self, text: str) -> list[str]:
+        """A text at its spaces, or at those that a non-space follows: the same if none stands before white space or at the end."""
+        if not self.keep_space or (text[-1:] != " " and not _GAP.search(text)):
+            return text.split(" ")
+        return _CUT.split(text)
+
     def _learn(self, known: dict[str, bytes], chunks: set[str], before: str) -> None:
-        new = [c for c in chunks if c not in known]
+        new = list(chunks.difference(known))
         self.long += [(known, c) for c in new if len(c) > CACHE_CHARS]
+        if known is self.rest and (self.keep_space or self.comma >= 0):
+            plain = [c for c in new if not _SPACE.search(c) and (self.keep_space or "," not in c)]
+            runs = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
+            texts = [" " + " ".join(r) if self.keep_space else " , ".join(r) for r in runs]
+            for run, e in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                self._part(known, run, e.ids)
+            new = [c for c in new if c not in known]
         for c, e in zip(new, self.tokenizer.encode_batch_fast([before + c for c in new], add_special_tokens=False)):
             ids = e.ids
             known[c] = struct.pack(f"<{len(ids)}I", *ids)
 
+    def _part(self, known: dict[str, bytes], run: list[str], ids: list[int]) -> None:
+        """Give each chunk of a run its ids, if they can be told apart."""
+        a = np.array(ids, "<u4")
+        marks = np.flatnonzero(self.opens[a] if self.keep_space else a == self.comma)
+        if len(marks) != (len(run) if self.keep_space else len(run) - 1):
+            return
+        raw, ends = a.tobytes(), [*(4 * marks).tolist(), 4 * len(a)]
+        if self.keep_space:
+            known.update((c, raw[x:y]) for c, x, y in zip(run, ends, ends[1:]))
+        else:
+            known.update((c, raw[x:y]) for c, x, y in zip(run, [0, *(4 * marks + 4).tolist()], ends))
+
     def _trim(self) -> None:
         for known, c in self.long:
             del known[c]
