@@ -1,10 +1,10 @@
 """Whole-text encoding with a public tokenizer, once per distinct chunk instead of once per occurrence.
 
-Both supported pre-tokenizers start a new piece at a space that a non-space follows, so a text cut there
-encodes to the concatenation of its chunks' ids. Chunks repeat a lot; the library sees each one once per
+Both supported pre-tokenizers start a new piece at a space that a non-space follows, and at a lone line end, so a text
+cut there encodes to the concatenation of its chunks' ids; one of them drops white space altogether. Chunks repeat a lot; the library sees each one once per
 worker (the cache is emptied at CACHE_ENTRIES chunks, long chunks are not kept), and a document is a join of
 cached id strings. New chunks go to the library many in a text, and their ids are parted where a piece with a space
-begins, or at a comma put between them; where the parts are not as many as the chunks, one by one.
+begins, or at a rare sign put between them; where the parts are not as many as the chunks, one by one.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ CACHE_CHARS = 48
 JOINED = 2_048
 _CUT = re.compile(r" (?=\S)")
 _GAP = re.compile(r" \s")
+_LINES = re.compile(r"\s\n|\n\s")
+_CONTROL = re.compile("[\x1c-\x1f]")  # white space to Python, signs to the tokenizer
 _SPACE = re.compile(r"\s")
 _ENCODERS: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
@@ -60,8 +62,8 @@ class ChunkEncoder:
             self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
         else:
-            comma = self.tokenizer.encode(",", add_special_tokens=False).ids
-            self.comma = comma[0] if len(comma) == 1 else -1
+            single = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in "§¶¤¦†,"}
+            self.sign, self.mark = next(((c, ids[0]) for c, ids in single.items() if len(ids) == 1), (None, -1))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self._cut(t or "") for t in texts]
@@ -81,29 +83,33 @@ class ChunkEncoder:
         return out
 
     def _cut(self, text: str) -> list[str]:
-        """A text at its spaces, or at those that a non-space follows: the same if none stands before white space or at the end."""
-        if not self.keep_space or (text[-1:] != " " and not _GAP.search(text)):
-            return text.split(" ")
-        return _CUT.split(text)
+        """The chunks of a text. One that begins with a line end has no space before it, all others but the first have."""
+        if not self.keep_space:
+            return text.split(" ") if _CONTROL.search(text) else text.split()
+        if text[-1:] == " " or _GAP.search(text):
+            return _CUT.split(text)
+        if "\n" in text and not _LINES.search(text) and text[0] != "\n" != text[-1]:
+            text = text.replace("\n", " \n")
+        return text.split(" ")
 
     def _learn(self, known: dict[str, bytes], chunks: set[str], before: str) -> None:
-        new = list(chunks.difference(known))
+        new = sorted(chunks.difference(known))
         self.long += [(known, c) for c in new if len(c) > CACHE_CHARS]
-        if known is self.rest and (self.keep_space or self.comma >= 0):
-            plain = [c for c in new if not _SPACE.search(c) and (self.keep_space or "," not in c)]
+        if known is self.rest and (self.keep_space or self.sign):
+            plain = [c for c in new if not _SPACE.search(c) and (self.keep_space or self.sign not in c)]
             runs = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-            texts = [" " + " ".join(r) if self.keep_space else " , ".join(r) for r in runs]
+            texts = [" " + " ".join(r) if self.keep_space else f" {self.sign} ".join(r) for r in runs]
             for run, e in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
                 self._part(known, run, e.ids)
             new = [c for c in new if c not in known]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([before + c for c in new], add_special_tokens=False)):
+        for c, e in zip(new, self.tokenizer.encode_batch_fast([c if c[0] == "\n" else before + c for c in new], add_special_tokens=False)):
             ids = e.ids
             known[c] = struct.pack(f"<{len(ids)}I", *ids)
 
     def _part(self, known: dict[str, bytes], run: list[str], ids: list[int]) -> None:
         """Give each chunk of a run its ids, if they can be told apart."""
         a = np.array(ids, "<u4")
-        marks = np.flatnonzero(self.opens[a] if self.keep_space else a == self.comma)
+        marks = np.flatnonzero(self.opens[a] if self.keep_space else a == self.mark)
         if len(marks) != (len(run) if self.keep_space else len(run) - 1):
             return
         raw, ends = a.tobytes(), [*(4 * marks).tolist(), 4 * len(a)]

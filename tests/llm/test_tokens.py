@@ -112,3 +112,16 @@ def test_plan_slots_is_best_fit_decreasing():
                 assert o == at
                 at += n
             assert at <= cap
+
+
+def test_cuts_at_lone_line_ends_and_odd_spaces():
+    rng = random.Random(5)
+    gaps = [" ", " ", " ", "\n", "\n", "\t", "\r", "\x0b", "\x1c", "\x1f", "\x85", "\xa0", " ", "　"]
+    signs = ["a", "b", "Ab", "é", "é", "́", "ß", "İ", "中", "१", "1", "22", "'s", "'t", "'", "§", "¶", ",", ".", "!!", "\U0001f511", "-", "_", "don't", "‍", "﻿", "Σ", "ς"]
+    for name, keep_space in (("byte_bpe_50k.json", True), ("word_bpe_49k.json", False)):
+        path = encoding.vocabulary(name)
+        whole, chunked = direct(path), encoding.ChunkEncoder(path, keep_space)
+        texts = ["".join(rng.choices(gaps + signs, k=rng.randint(0, 25))) for _ in range(1500)]
+        texts += [" ".join("".join(rng.choices(signs, k=rng.randint(1, 4))) + rng.choice(["", "", "\n" + rng.choice(signs)]) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
+        for t, ids in zip(texts, chunked.encode(texts)):
+            assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == whole(t), repr(t)
