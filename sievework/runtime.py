@@ -29,14 +29,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 TASK_BYTES = 128 << 20
+BATCH_ROWS = 2_000
 
 
 def spread(df: DataFrame) -> DataFrame:
     """Deal an input over the cores before a heavy stage.
 
     One of too few splits is repartitioned; of many small ones, neighbours are read by one task, up to TASK_BYTES and at
-    least two tasks a core, so that what follows writes fewer and larger files.
+    least two tasks a core, so that what follows writes fewer and larger files. Where the session leaves the size of
+    Arrow batches at its default, they get BATCH_ROWS rows: of whole texts, 10,000 are much to hold twice.
     """
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(rows) == "10000":
+        df.sparkSession.conf.set(rows, str(BATCH_ROWS))
     cores, parts = df.sparkSession.sparkContext.defaultParallelism, df.rdd.getNumPartitions()
     if parts < cores // 2:
         return df.repartition(cores)
