@@ -156,6 +156,14 @@ def _able(x, y):
     return (DEN * n(x) >= NUM * n(y)) & (DEN * n(y) >= NUM * n(x)) & ((NUM + DEN) * most >= NUM * (n(x) + n(y)))
 
 
+def _near(a: str, b: str, total):
+    """Whether parity bits allow the similarity of two sets of so many items together; the longer bits are folded onto the shorter."""
+    half = lambda c: F.zip_with(F.slice(c, F.lit(1), (F.size(c) / 2).cast("int")), F.slice(c, (F.size(c) / 2 + 1).cast("int"), (F.size(c) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
+    fold = lambda c, other: F.when(F.size(c) == 2 * F.size(other), half(F.col(c))).otherwise(F.col(c))
+    apart = F.aggregate(F.zip_with(fold(a, b), fold(b, a), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return (NUM + DEN) * apart <= (DEN - NUM) * total
+
+
 def _pair(a, b):
     return F.least(a, b).alias("a"), F.greatest(a, b).alias("b")
 
@@ -174,16 +182,16 @@ def first_candidates(shared: DataFrame) -> DataFrame:
     return out.unionByName(across.select(*_pair(F.col("head.rep"), F.col("least.rep")))).distinct()
 
 
-def cross_candidates(shared: DataFrame, parts: DataFrame) -> DataFrame:
-    """(a, b), a < b: of items that only stars have covered, the pairs of sets in different components."""
+def cross_candidates(shared: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b), a < b: of items that only stars have covered, the pairs of sets in different components that parity bits do not rule out."""
     many = shared.where((F.col("c") > SMALL) | (F.col("of") > 1)).select("item", "rep", "place")
     many = many.join(parts, F.col("rep") == F.col("node"), "left").select("item", "rep", "place", F.coalesce("component", "rep").alias("part"))
     sizes = many.groupBy("item", "part").agg(F.count(F.lit(1)).alias("n"))
     major = sizes.groupBy("item").agg(F.max_by("part", F.struct("n", "part")).alias("major"), F.count(F.lit(1)).alias("parts")).where("parts > 1").select("item", "major")
-    mixed = cut(many.join(major, "item"))
+    mixed = cut(many.join(major, "item").join(classes.select("rep", "bits"), "rep"))
     x, y = mixed.where("part <> major").alias("x"), mixed.alias("y")
     once = (F.col("y.part") == F.col("y.major")) | (F.col("x.rep") < F.col("y.rep"))
-    pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.part") != F.col("y.part")) & once & _able(F.col("x.place"), F.col("y.place")))
+    pairs = x.join(y, (F.col("x.item") == F.col("y.item")) & (F.col("x.part") != F.col("y.part")) & once & _able(F.col("x.place"), F.col("y.place")) & _near("x.bits", "y.bits", F.shiftright("x.place", 32) + F.shiftright("y.place", 32)))
     return pairs.select(*_pair(F.col("x.rep"), F.col("y.rep"))).distinct()
 
 
@@ -200,10 +208,7 @@ def verified(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame
     """(a, b): pairs of classes whose sets have the similarity. docs has (id, h, text), classes (rep, id, h, n, bits) of a document each."""
     side = lambda c, k: classes.select(F.col("rep").alias(c), F.col("n").alias(f"n{k}"), F.col("bits").alias(f"bits{k}"))
     sketched = pairs.join(side("a", 1), "a").join(side("b", 2), "b")
-    half = lambda b: F.zip_with(F.slice(b, F.lit(1), (F.size(b) / 2).cast("int")), F.slice(b, (F.size(b) / 2 + 1).cast("int"), (F.size(b) / 2).cast("int")), lambda x, y: x.bitwiseXOR(y))
-    fold = lambda b, other: F.when(F.size(b) == 2 * F.size(other), half(F.col(b))).otherwise(F.col(b))
-    apart = F.aggregate(F.zip_with(fold("bits1", "bits2"), fold("bits2", "bits1"), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = cut(sketched.where((DEN * F.col("n1") >= NUM * F.col("n2")) & (DEN * F.col("n2") >= NUM * F.col("n1"))).where((NUM + DEN) * apart <= (DEN - NUM) * (F.col("n1") + F.col("n2"))).select("a", "b"))
+    pairs = cut(sketched.where((DEN * F.col("n1") >= NUM * F.col("n2")) & (DEN * F.col("n2") >= NUM * F.col("n1"))).where(_near("bits1", "bits2", F.col("n1") + F.col("n2"))).select("a", "b"))
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
     nodes = few(nodes.join(classes.select("rep", F.col("id").alias("of_id"), F.col("h").alias("of_h")), "rep"))
     texts = docs.join(nodes, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h"))).select("rep", "text")
@@ -223,7 +228,7 @@ def groups(docs: DataFrame) -> DataFrame:
     shared = stored(shared_items(classes), "shared")
     edges = cut(verified(docs, classes, first_candidates(shared).unionByName(print_candidates(classes.select("rep", "fp"))).distinct()))
     parts = connected_components(edges, "a", "b")
-    more = verified(docs, classes, cross_candidates(shared, parts))
+    more = verified(docs, classes, cross_candidates(shared, parts, classes))
     parts = connected_components(edges.unionByName(more), "a", "b")
     named = members.join(parts, F.col("rep") == F.col("node"), "left").select("row", "id", "h", F.coalesce("component", "rep").alias("part"))
     heads = named.groupBy("part").agg(F.min(place).alias("first"))
