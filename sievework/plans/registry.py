@@ -268,26 +268,24 @@ def components_of_parts(spark, d):
     return connected_components(table(spark, d, "lineitem").select((F.col("l_partkey") + 1000000).alias("src"), F.col("l_suppkey").alias("dst")))
 
 
-def shingle_sets(spark, d):
-    keys = docs(spark, d).select(F.col("doc_id").alias("id"), text.nfkc("text").alias("t")).select("id", text.word_key(F.col("t")).alias("k"))
-    return keys.select("id", text.shingles(F.col("k")).alias("items"))
+def gram_classes(spark, d):
+    return similarity.gram_members(docs(spark, d).select(F.col("doc_id").alias("id"), text.nfkc("text").alias("t")).select("id", text.word_key(F.col("t")).alias("key")))
 
 
 @query()
 def near_dup_pairs(spark, d):
     """Pairs of classes by their least documents; near_dup_members says which documents a class has."""
-    pairs = similarity.jaccard_pairs(shingle_sets(spark, d))
-    return pairs.select("a", "b", F.round("jaccard", 6).alias("jaccard"))
+    _, classes = gram_classes(spark, d)
+    return similarity.gram_pairs(classes).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
 @query()
 def near_dup_members(spark, d):
     """(id, rep, links): each document with shingles, its class, and how many other documents are near it or equal in shingles."""
-    sets = cut(shingle_sets(spark, d)).where(F.size("items") > 0)
-    members = cut(similarity.equal_sets(sets))
+    members, classes = gram_classes(spark, d)
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-    pairs = similarity.jaccard_pairs(sets).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select(F.col("p.a").alias("to"), F.col("p.b").alias("rep"))
-    near = pairs.join(sizes, "rep").groupBy(F.col("to").alias("rep")).agg(F.sum("n").alias("near"))
+    ends = similarity.gram_pairs(classes).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select(F.col("p.a").alias("to"), F.col("p.b").alias("rep"))
+    near = ends.join(sizes, "rep").groupBy(F.col("to").alias("rep")).agg(F.sum("n").alias("near"))
     links = sizes.join(near, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
     return members.join(links, "rep").select("id", "rep", "links")
 
