@@ -42,3 +42,17 @@ def test_image_pairs_without_broadcast(spark, tmp_path, monkeypatch):
 
     monkeypatch.setattr(images, "MAX_IMAGES", 10)
     held_against_sql(spark, tmp_path, "near_image_pairs", "embeddings", [(i, i // 7 % 4) for i in range(120)], "vec_id long, label int")
+
+
+def test_pairs_of_texts_leave_no_candidates_on_disk(spark):
+    """Only results leave a task: nothing is joined or shuffled for them; wide characters and tiny chunks included."""
+    from sievework.operators import similarity
+
+    keys = ["abcdefghijklmnopqrstuvwxyz"[i:] + "0123456789" * (i % 2) + "😀é" * (i % 3) for i in range(6)] + ["short"]
+    _, classes = similarity.gram_members(spark.createDataFrame(list(enumerate(keys)), "id long, key string"))
+    pairs = similarity.gram_pairs(classes)
+    sets = [{k[i : i + 4] for i in range(len(k) - 3)} if len(k) >= 20 else set() for k in keys]
+    want = {(i, j) for i in range(7) for j in range(i + 1, 7) if sets[i] and sets[j] and 2 * len(sets[i] & sets[j]) >= len(sets[i] | sets[j])}
+    assert want and {(r.a, r.b) for r in pairs.collect()} == want
+    plan = pairs._jdf.queryExecution().toString()
+    assert "Join" not in plan and "Exchange" not in plan
