@@ -5,6 +5,8 @@ One capture is one row; its items, characters, boxes and images are arrays in it
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ UI_LINES = [
 ]
 LOGOS = ["instagram", "facebook", "threads", "dcard", "youtube", "tiktok", "line", "twitter"]
 RISK = r"(?iU)(line\s*id|line\.me|lin\.ee|t\.me|wa\.me|telegram|whatsapp|https?://|www\.|@[a-z0-9_.]{3,}|09\d{2}[-\s]?\d{3}[-\s]?\d{3}|匯款|轉帳|入金|出金|usdt|泰達幣|保證|獲利|穩賺|投資|老師|助理|私訊|加賴|加line|領取|中獎|免費|限時|點擊|連結|驗證|帳戶|解凍|退款)"
+LATIN_RISK = r"line[\t\n\f\r ]*id|line\.me|lin\.ee|t\.me|wa\.me|telegram|whatsapp|https?://|www\.|@[a-z0-9_.]{3,}|09[0-9]{2}[-\t\n\f\r ]?[0-9]{3}[-\t\n\f\r ]?[0-9]{3}|usdt"
 GUARANTEES = ["保證獲利", "穩賺不賠", "零風險", "保證回本"]
 PAYMENTS, CONTACTS = ["USDT", "泰達幣", "匯款", "入金"], ["私訊", "加LINE", "加賴", "老師", "助理"]
 
@@ -35,20 +38,37 @@ def line_reasons(lines: Column, lexicon: list[str] = UI_LINES, logos: list[str]
     """
     clean = F.filter(F.transform(lines, lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"(?U)^\s+|\s+$", "")), lambda x: x != "")
     keys = F.transform(F.split(nfkc(F.array_join(F.transform(clean, lambda x: F.regexp_replace(x, "\n", " ")), "\n")), "\n"), line_key)
-    known = F.array(*[F.lit(x) for x in sorted({_plain_key(x) for x in lexicon})])
     place = F.flatten(F.transform(clean, lambda x, i: F.array_repeat(i, len(logos))))
     ratios = ratio_table(keys, F.array(*[F.lit(x) for x in logos]), gap=max(map(len, logos)) // 2)  # 0.8 needs lengths as close
     like = F.filter(F.zip_with(place, ratios, lambda i, r: F.when(r >= 0.8, i)), lambda x: x.isNotNull())
     logo = F.aggregate(like, F.transform(clean, lambda x: F.lit(False)), lambda flags, i: F.transform(flags, lambda v, j: v | (j == i)))
     han = lambda k: F.length(F.regexp_replace(k, "[^㐀-鿿]", ""))
     rows = F.zip_with(F.zip_with(clean, keys, lambda x, k: F.struct(x.alias("line"), k.alias("key"))), logo, lambda x, v: F.struct(x["line"].alias("line"), x["key"].alias("key"), v.alias("logo")))
+    short = lambda k: (han(k) <= 1) & (F.length(k) <= 3)
+    out = _judged(rows, sorted({_plain_key(x) for x in lexicon}), r"^[\d,.]+[kmw萬千]?$", short, lambda x: F.rlike(x, F.lit(RISK)))
+    return F.when(F.size(clean) > 0, out).otherwise(F.array().cast("array<struct<line:string,reason:string>>"))
+
+
+def latin_line_reasons(lines: Column, lexicon: list[str]) -> Column:
+    """As line_reasons by what SQL can say: ASCII white space, keys as written, no logos, nothing that is special to Chinese."""
+    space = r"\t\n\f\r "
+    clean = F.filter(F.transform(lines, lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), rf"^[{space}]+|[{space}]+\z", "")), lambda x: x != "")
+    key = lambda x: F.regexp_replace(F.lower(F.translate(x, "İ", "i")), rf"[{space}·•|:：!！?？.。,，、\-_/]+", "")
+    rows = F.transform(clean, lambda x: F.struct(x.alias("line"), key(x).alias("key"), F.lit(False).alias("logo")))
+    risky = lambda x: F.rlike(F.translate(x, f"{ascii_uppercase}\u212a\u017f", f"{ascii_lowercase}ks"), F.lit(LATIN_RISK))  # noqa: E731  all that folds to a letter of ASCII
+    return _judged(rows, lexicon, r"\A[0-9,.]+[kmw]?\z", lambda k: F.length(k) <= 3, risky)
+
+
+def _judged(rows: Column, known: list[str], number: str, short, risky) -> Column:
+    """array<struct(line, reason)> of array<struct(line, key, logo)>."""
+    ui = F.array(*[F.lit(x) for x in known])
 
     def reason(x):
         k = x["key"]
-        why = F.when(k == "", "empty").when(F.array_contains(known, k), "ui_lexicon").when(x["logo"], "platform_logo").when(F.rlike(k, F.lit(r"^[\d,.]+[kmw萬千]?$")), "bare_number").when((han(k) <= 1) & (F.length(k) <= 3), "too_short")
-        return F.struct(x["line"].alias("line"), F.when(why.isNotNull() & ~F.rlike(x["line"], F.lit(RISK)), why).alias("reason"))
+        why = F.when(k == "", "empty").when(F.array_contains(ui, k), "ui_lexicon").when(x["logo"], "platform_logo").when(F.rlike(k, F.lit(number)), "bare_number").when(short(k), "too_short")
+        return F.struct(x["line"].alias("line"), F.when(why.isNotNull() & ~risky(x["line"]), why).alias("reason"))
 
-    return F.when(F.size(clean) > 0, F.transform(rows, reason)).otherwise(F.array().cast("array<struct<line:string,reason:string>>"))
+    return F.transform(rows, reason)
 
 
 def _plain_key(line: str) -> str:

@@ -56,3 +56,11 @@ def test_pairs_of_texts_leave_no_candidates_on_disk(spark):
     assert want and {(r.a, r.b) for r in pairs.collect()} == want
     plan = pairs._jdf.queryExecution().toString()
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_lines_are_judged_by_the_rules_of_the_sql(spark, tmp_path):
+    """Names like logos, words of other lexicons, Chinese, other white space, letters that fold to ASCII, repeated ids, halves of a millionth."""
+    words = ["lines", "posts", "twiter", "Log in, please", "more", "保證", "讚", "5萬", "１２", "ﬁn", "a\u00a0", "\u00a0", "a\x0b", "a \u0085", "12\u0085", "\u3000", "İİa", "5\u212a", "@aı\u017f", "@\u212aa\u017f", "u\u017fdt", "Lıne id", "line\x0bid", "匯款", "...", " \t\r", "7,5k\r", "09\u0661\u0662", "0912 345\t678", "x" * 3, ""]
+    rows = [(i, w) for i, w in enumerate(words)] + [(100 + i, f"{w}\nsome content\n\n{w}") for i, w in enumerate(words)]
+    rows += [(1, "more\nand more"), (None, "home"), (None, "x"), (998, None), (999, "\n".join(["more"] * 41 + ["some content"] * 599))]
+    held_against_sql(spark, tmp_path, "content_lines", "documents", rows, "doc_id long, text string")
