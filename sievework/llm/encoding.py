@@ -1,9 +1,10 @@
 """Whole-text encoding with a public tokenizer, once per distinct chunk instead of once per occurrence.
 
 Both supported pre-tokenizers start a new piece at a space that a non-space follows, and at a lone line end, so a text
-cut there encodes to the concatenation of its chunks' ids; one of them drops white space altogether. Chunks repeat a lot; the library sees each one once per
-worker (the cache is emptied at CACHE_ENTRIES chunks, long chunks are not kept), and a document is a join of
-cached id strings. New chunks go to the library many in a text, and their ids are parted where a piece with a space
+cut there encodes to the concatenation of its chunks' ids; one of them drops white space altogether. Chunks repeat a lot,
+and a document is a join of cached id strings; but most distinct chunks come once, so a worker keeps those that the library
+has seen before (a table of SEEN hashes says so; the cache is emptied at CACHE_ENTRIES chunks, long chunks are not kept).
+New chunks go to the library many in a text and a few texts at a time, and their ids are parted where a piece with a space
 begins, or at a rare sign put between them; where the parts are not as many as the chunks, one by one.
 """
 
@@ -15,9 +16,11 @@ import struct
 
 import numpy as np
 
-CACHE_ENTRIES = 1_200_000
+CACHE_ENTRIES = 300_000
+SEEN = 1 << 23
 CACHE_CHARS = 48
 JOINED = 2_048
+AT_ONCE = 16
 _CUT = re.compile(r" (?=\S)")
 _GAP = re.compile(r" \s")
 _LINES = re.compile(r"\s\n|\n\s")
@@ -57,7 +60,8 @@ class ChunkEncoder:
         self.keep_space = keep_space
         self.first: dict[str, bytes] = {"": b""}
         self.rest: dict[str, bytes] = {"": b""}
-        self.long: list[tuple[dict[str, bytes], str]] = []
+        self.seen, self.marks = bytearray(SEEN), 0
+        self.passing: list[tuple[dict[str, bytes], str]] = []
         if keep_space:  # ids of pieces that begin with a space, which byte-level vocabularies write as this letter
             self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
@@ -94,17 +98,31 @@ class ChunkEncoder:
 
     def _learn(self, known: dict[str, bytes], chunks: set[str], before: str) -> None:
         new = sorted(chunks.difference(known))
-        self.long += [(known, c) for c in new if len(c) > CACHE_CHARS]
+        self.passing += [(known, c) for c in new if len(c) > CACHE_CHARS or self._unseen(c)]
         if known is self.rest and (self.keep_space or self.sign):
             plain = [c for c in new if not _SPACE.search(c) and (self.keep_space or self.sign not in c)]
             runs = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-            texts = [" " + " ".join(r) if self.keep_space else f" {self.sign} ".join(r) for r in runs]
-            for run, e in zip(runs, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                self._part(known, run, e.ids)
+            for i in range(0, len(runs), AT_ONCE):
+                some = runs[i : i + AT_ONCE]
+                texts = [" " + " ".join(r) if self.keep_space else f" {self.sign} ".join(r) for r in some]
+                for run, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                    self._part(known, run, e.ids)
             new = [c for c in new if c not in known]
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([c if c[0] == "\n" else before + c for c in new], add_special_tokens=False)):
-            ids = e.ids
-            known[c] = struct.pack(f"<{len(ids)}I", *ids)
+        for i in range(0, len(new), JOINED):
+            some = new[i : i + JOINED]
+            for c, e in zip(some, self.tokenizer.encode_batch_fast([c if c[0] == "\n" else before + c for c in some], add_special_tokens=False)):
+                ids = e.ids
+                known[c] = struct.pack(f"<{len(ids)}I", *ids)
+
+    def _unseen(self, chunk: str) -> bool:
+        """Whether a chunk is new to the table, which then has it."""
+        at = hash(chunk) % SEEN
+        if self.seen[at]:
+            return False
+        if self.marks > SEEN // 2:
+            self.seen, self.marks = bytearray(SEEN), 0
+        self.seen[at], self.marks = 1, self.marks + 1
+        return True
 
     def _part(self, known: dict[str, bytes], run: list[str], ids: list[int]) -> None:
         """Give each chunk of a run its ids, if they can be told apart."""
@@ -119,9 +137,9 @@ class ChunkEncoder:
             known.update((c, raw[x:y]) for c, x, y in zip(run, [0, *(4 * marks + 4).tolist()], ends))
 
     def _trim(self) -> None:
-        for known, c in self.long:
+        for known, c in self.passing:
             del known[c]
-        self.long.clear()
+        self.passing.clear()
         for known in (self.first, self.rest):
             if len(known) > CACHE_ENTRIES:
                 known.clear()

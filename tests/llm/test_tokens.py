@@ -125,3 +125,14 @@ def test_cuts_at_lone_line_ends_and_odd_spaces():
         texts += [" ".join("".join(rng.choices(signs, k=rng.randint(1, 4))) + rng.choice(["", "", "\n" + rng.choice(signs)]) for _ in range(rng.randint(1, 12))) for _ in range(1500)]
         for t, ids in zip(texts, chunked.encode(texts)):
             assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == whole(t), repr(t)
+
+
+def test_chunks_that_come_once_are_not_kept():
+    """Half of the chunks come once, in every text others; only those that come again stay, and ids are those of whole texts."""
+    from sievework.llm.encoding import ChunkEncoder, vocabulary
+
+    enc = ChunkEncoder(vocabulary("byte_bpe_50k.json"), True)
+    texts = [" ".join(f"w{k}x{i} again{i % 50}" for i in range(2_000)) for k in range(5)]
+    for t in texts:
+        assert enc.encode([t])[0] == b"".join(i.to_bytes(4, "little") for i in enc.tokenizer.encode(t, add_special_tokens=False).ids)
+    assert 50 <= len(enc.rest) < 1_000
