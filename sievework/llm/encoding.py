@@ -6,6 +6,10 @@ and a document is a join of cached id strings; but most distinct chunks come onc
 has seen before (a table of SEEN hashes says so; the cache is emptied at CACHE_ENTRIES chunks, long chunks are not kept).
 New chunks go to the library many in a text and a few texts at a time, and their ids are parted where a piece with a space
 begins, or at a rare sign put between them; where the parts are not as many as the chunks, one by one.
+
+Where the vocabulary drops white space and case and parts a word from the sign after it (asked of it once, over all of
+Latin-1), Latin-1 texts are lower-cased and cut there too, so that a word is one chunk whatever its case and the sign after
+it. Words of letters are one piece each, and their ids are parted at those that end a piece.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ _GAP = re.compile(r" \s")
 _LINES = re.compile(r"\s\n|\n\s")
 _CONTROL = re.compile("[\x1c-\x1f]")  # white space to Python, signs to the tokenizer
 _SPACE = re.compile(r"\s")
+_SIGN = re.compile(r"[!-/:-@\[-`{-~](?<=[^\W_].)")  # of ASCII, after a letter or a digit
 _ENCODERS: dict[tuple[str, bool], "ChunkEncoder"] = {}
 
 
@@ -49,6 +54,7 @@ class ChunkEncoder:
 
     keep_space: the vocabulary's pieces carry their leading space (byte-level BPE). Otherwise white space is
     dropped by the tokenizer, and texts are cut at every space.
+    folds: whether case and the place between a word and a sign after it make no difference in Latin-1 texts.
     """
 
     def __init__(self, path: str, keep_space: bool):
@@ -62,12 +68,34 @@ class ChunkEncoder:
         self.rest: dict[str, bytes] = {"": b""}
         self.seen, self.marks = bytearray(SEEN), 0
         self.passing: list[tuple[dict[str, bytes], str]] = []
+        self.folds, self.closes = False, None
         if keep_space:  # ids of pieces that begin with a space, which byte-level vocabularies write as this letter
             self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
             self.opens[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
         else:
             single = {c: self.tokenizer.encode(c, add_special_tokens=False).ids for c in "§¶¤¦†,"}
             self.sign, self.mark = next(((c, ids[0]) for c, ids in single.items() if len(ids) == 1), (None, -1))
+            self.folds, self.closes = self._folds(), self._closes()
+
+    def _folds(self) -> bool:
+        """Whether every letter and digit of Latin-1 gives the same pieces with a sign of ASCII after it and, in lower case, parted from it."""
+        own = self.tokenizer
+        if own.normalizer is None or own.pre_tokenizer is None or not all(t.special for t in own.get_added_tokens_decoder().values()):
+            return False
+        pairs = [c + s for c in map(chr, range(256)) if c.isalnum() for s in map(chr, range(33, 127)) if not s.isalnum()]
+        whole, parted = (own.pre_tokenizer.pre_tokenize_str(own.normalizer.normalize_str(t)) for t in (" ".join(pairs), " ".join(_SIGN.sub(r" \g<0>", p.lower()) for p in pairs)))
+        return [p for p, _ in whole] == [p for p, _ in parted] and len(whole) == 2 * len(pairs)
+
+    def _closes(self) -> np.ndarray | None:
+        """By id: whether it ends a piece. None if the vocabulary does not tell."""
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        vocab, suffix = self.tokenizer.get_vocab(), getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        if not suffix or not all(c + suffix in vocab for c in ByteLevel.alphabet()):
+            return None
+        closes = np.zeros(max(vocab.values()) + 1, bool)
+        closes[[i for t, i in vocab.items() if t.endswith(suffix)]] = True
+        return closes
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self._cut(t or "") for t in texts]
@@ -89,6 +117,8 @@ class ChunkEncoder:
     def _cut(self, text: str) -> list[str]:
         """The chunks of a text. One that begins with a line end has no space before it, all others but the first have."""
         if not self.keep_space:
+            if self.folds and _latin(text):
+                text = _SIGN.sub(r" \g<0>", text.lower())
             return text.split(" ") if _CONTROL.search(text) else text.split()
         if text[-1:] == " " or _GAP.search(text):
             return _CUT.split(text)
@@ -99,14 +129,12 @@ class ChunkEncoder:
     def _learn(self, known: dict[str, bytes], chunks: set[str], before: str) -> None:
         new = sorted(chunks.difference(known))
         self.passing += [(known, c) for c in new if len(c) > CACHE_CHARS or self._unseen(c)]
+        if known is self.rest and self.closes is not None:
+            self._join(known, [c for c in new if c.isalpha()], " ", self._closed)
+            new = [c for c in new if c not in known]
         if known is self.rest and (self.keep_space or self.sign):
             plain = [c for c in new if not _SPACE.search(c) and (self.keep_space or self.sign not in c)]
-            runs = [plain[i : i + JOINED] for i in range(0, len(plain), JOINED)]
-            for i in range(0, len(runs), AT_ONCE):
-                some = runs[i : i + AT_ONCE]
-                texts = [" " + " ".join(r) if self.keep_space else f" {self.sign} ".join(r) for r in some]
-                for run, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
-                    self._part(known, run, e.ids)
+            self._join(known, plain, " " if self.keep_space else f" {self.sign} ", self._opened if self.keep_space else self._marked)
             new = [c for c in new if c not in known]
         for i in range(0, len(new), JOINED):
             some = new[i : i + JOINED]
@@ -124,17 +152,30 @@ class ChunkEncoder:
         self.seen[at], self.marks = 1, self.marks + 1
         return True
 
-    def _part(self, known: dict[str, bytes], run: list[str], ids: list[int]) -> None:
-        """Give each chunk of a run its ids, if they can be told apart."""
-        a = np.array(ids, "<u4")
-        marks = np.flatnonzero(self.opens[a] if self.keep_space else a == self.mark)
-        if len(marks) != (len(run) if self.keep_space else len(run) - 1):
-            return
-        raw, ends = a.tobytes(), [*(4 * marks).tolist(), 4 * len(a)]
-        if self.keep_space:
-            known.update((c, raw[x:y]) for c, x, y in zip(run, ends, ends[1:]))
-        else:
-            known.update((c, raw[x:y]) for c, x, y in zip(run, [0, *(4 * marks + 4).tolist()], ends))
+    def _join(self, known: dict[str, bytes], chunks: list[str], between: str, parts) -> None:
+        """Encode chunks many in a text, and give each its ids where they can be told apart."""
+        runs = [chunks[i : i + JOINED] for i in range(0, len(chunks), JOINED)]
+        for i in range(0, len(runs), AT_ONCE):
+            some = runs[i : i + AT_ONCE]
+            texts = [(" " if self.keep_space else "") + between.join(r) for r in some]
+            for run, e in zip(some, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
+                a = np.array(e.ids, "<u4")
+                starts, ends = parts(a)
+                if len(starts) == len(ends) == len(run):
+                    raw = a.tobytes()
+                    known.update((c, raw[x:y]) for c, x, y in zip(run, (4 * starts).tolist(), (4 * ends).tolist()))
+
+    def _opened(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        starts = np.flatnonzero(self.opens[a])
+        return starts, np.append(starts[1:], len(a))
+
+    def _marked(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        marks = np.flatnonzero(a == self.mark)
+        return np.append(0, marks + 1), np.append(marks, len(a))
+
+    def _closed(self, a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ends = np.flatnonzero(self.closes[a]) + 1
+        return np.append(0, ends[:-1]), ends
 
     def _trim(self) -> None:
         for known, c in self.passing:
@@ -146,6 +187,14 @@ class ChunkEncoder:
                 known[""] = b""
 
 
+def _latin(text: str) -> bool:
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
 def pieces(batches, rows: int = 512):
     """Arrow batches in pieces of so many rows, so that few texts are held as Python strings."""
     for batch in batches:

@@ -136,3 +136,54 @@ def test_chunks_that_come_once_are_not_kept():
     for t in texts:
         assert enc.encode([t])[0] == b"".join(i.to_bytes(4, "little") for i in enc.tokenizer.encode(t, add_special_tokens=False).ids)
     assert 50 <= len(enc.rest) < 1_000
+
+
+def test_a_word_is_one_chunk_whatever_its_case_and_sign():
+    """Before, each case of a word with each sign after it was a chunk of its own, encoded for itself."""
+    enc = encoding.ChunkEncoder(encoding.vocabulary("word_bpe_49k.json"), False)
+    whole = direct(encoding.vocabulary("word_bpe_49k.json"))
+    signs, given = ["", ".", ",", ".$$$", "***", "'s"], []
+    encode = enc.tokenizer.encode_batch_fast
+
+    class Counted:
+        def encode_batch_fast(self, texts, **kw):
+            given.extend(texts)
+            return encode(texts, **kw)
+
+    enc.tokenizer = Counted()
+    text = " ".join(case(f"né{a}{b}") + s for a in "abcdefghij" for b in "abcdefghij" for case in (str.lower, str.title, str.upper) for s in signs)
+    ids = enc.encode([text])[0]
+    assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == whole(text)
+    assert sum(t.count("né") for t in given) == 100
+
+
+def test_latin_texts_encode_as_whole_texts():
+    """All of Latin-1 in short words, and the same with one wider sign in the text, which is not folded."""
+    rng = random.Random(7)
+    path = encoding.vocabulary("word_bpe_49k.json")
+    whole, enc = direct(path), encoding.ChunkEncoder(path, False)
+    chars = [chr(i) for i in range(256)] + list("''' \n    ..,_") + ["'s", "'LL", "'tx"]
+    texts = ["".join(rng.choices(chars, k=rng.randint(1, 60))) for _ in range(2_000)]
+    texts += [t + rng.choice(["", " "]) + w for t in texts[:500] for w in ("́.", "İ.", "Σ,", "≠")]
+    texts += [x + s + y for x in "aÉµª²½×_'" for s in map(chr, range(32, 127)) for y in ("", "b", "'s", "!", "́", "\xa0")]
+    for t, ids in zip(texts, enc.encode(texts)):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == whole(t), repr(t)
+
+
+def test_vocabularies_that_tell_case_or_join_signs_are_not_folded(tmp_path):
+    import json
+
+    with open(encoding.vocabulary("word_bpe_49k.json"), encoding="utf-8") as f:
+        plain = json.load(f)
+    cased = plain | {"normalizer": {"type": "NFC"}}
+    split = {"type": "Split", "pattern": {"Regex": r"[\p{L}\p{N}]+\.?|[^\s\p{L}\p{N}]+"}, "behavior": "Removed", "invert": True}
+    joined = plain | {"pre_tokenizer": plain["pre_tokenizer"] | {"pretokenizers": [split, plain["pre_tokenizer"]["pretokenizers"][1]]}}
+    added = plain | {"added_tokens": plain["added_tokens"] + [plain["added_tokens"][0] | {"id": 49408, "content": "word.", "special": False}]}
+    text = "A Word. a word, É. é Word.. word. WORD and More. more"
+    for name, vocabulary in (("cased", cased), ("joined", joined), ("added", added)):
+        path = str(tmp_path / f"{name}.json")
+        with open(path, "w", encoding="utf-8") as f:
+            json.dump(vocabulary, f)
+        enc = encoding.ChunkEncoder(path, False)
+        ids = enc.encode([text])[0]
+        assert not enc.folds and list(struct.unpack(f"<{len(ids) // 4}I", ids)) == direct(path)(text), name
