@@ -284,8 +284,7 @@ def near_dup_members(spark, d):
     """(id, rep, links): each document with shingles, its class, and how many other documents are near it or equal in shingles."""
     members, classes = gram_classes(spark, d)
     sizes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-    ends = similarity.gram_pairs(classes).select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("p")).select(F.col("p.a").alias("to"), F.col("p.b").alias("rep"))
-    near = ends.join(sizes, "rep").groupBy(F.col("to").alias("rep")).agg(F.sum("n").alias("near"))
+    near = similarity.gram_links(classes)
     links = sizes.join(near, "rep", "left").select("rep", (F.col("n") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
     return members.join(links, "rep").select("id", "rep", "links")
 
